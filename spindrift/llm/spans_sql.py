@@ -1,4 +1,4 @@
-"""Regex matches with their places and replacements, in SQL functions alone."""
+"""Regex matches with their places, in SQL functions alone."""
 
 from __future__ import annotations
 
@@ -51,9 +51,3 @@ def with_starts(found: Column, each: Callable[[Column, Column, Column], Column])
 
     return let(found, placed)
 
-
-def replaced(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """The text with each match m replaced by `new(m)`."""
-    found = split_matches(text, pattern)
-    joined = lambda f: F.array_join(F.zip_with(f["g"], F.transform(f["m"], lambda m: new(m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    return F.coalesce(let(found, lambda f: F.when(f.isNotNull(), joined(f))), text)
