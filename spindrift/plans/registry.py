@@ -1,6 +1,8 @@
-"""All queries of the library's own operators by name, each with its SQL."""
+"""All queries of the library's own operators by name, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import metric_queries, sampling_queries, scene_queries, stream_queries, track_queries  # noqa: F401  (they register)
+from .bind import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
