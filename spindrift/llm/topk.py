@@ -18,7 +18,6 @@ block is held against all vectors, a slice of them at a time.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +55,7 @@ def quantised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def partial_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Integer inner products by list, (LISTS, queries, rows); in whole numbers of any size where doubles could round."""
     width = min(queries.shape[1], rows.shape[1])
-    most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(width, 1)
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(width, 1)
     if most >= 2.0**53:
         queries, rows = (np.array([[int(v) for v in r] for r in m], object).reshape(m.shape) for m in (queries, rows))
     return np.stack([queries[:, a] @ rows[:, a].T if width else np.zeros((len(queries), len(rows))) for a in (slice(j * width // LISTS, (j + 1) * width // LISTS) for j in range(LISTS))])
@@ -70,7 +69,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class QueryBlock:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.cutoff = np.full(len(ids), _LOWEST, object)
+        self.cutoff = np.full(len(ids), float("-inf"), object)
 
     def _slices(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         usable, rows = quantised(batch.column("embedding"))
@@ -84,7 +83,7 @@ class QueryBlock:
         lead: list[np.ndarray] = [np.zeros(0)] * len(self.ids)
         for batch in batches:
             for ids, parts in self._slices(batch):
-                full = parts.sum(0)
+                full = _held(parts.sum(0))
                 if parts.dtype == object:
                     order = np.argsort(-parts, axis=2, kind="stable")[:, :, : self.k + 1]
                 else:
@@ -100,17 +99,21 @@ class QueryBlock:
     def resolve(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phases 2 and 3: (query_id, vec_id, score) of the k best vectors that reach the cutoff."""
         held = [(np.zeros(0), np.zeros(0, np.int64))] * len(self.ids)
-        cutoff = np.array(self.cutoff, float)
+        cutoff = self.cutoff.astype(float)
         for batch in batches:
             for ids, parts in self._slices(batch):
-                least = cutoff if parts.dtype != object else self.cutoff
-                threshold = (least / LISTS)[:, None] if parts.dtype != object else np.array([c // LISTS for c in least], object)[:, None]
-                above = parts >= threshold
-                bound = np.where(above, parts, np.broadcast_to(threshold, above.shape)).sum(0)
-                entries = (above.any(0) & (bound >= least[:, None])).astype(bool)
+                if parts.dtype == object:
+                    # whole numbers of any size: every entry is scored in full
+                    entries = np.ones(parts.shape[1:], bool)
+                else:
+                    threshold = (cutoff / LISTS)[:, None]
+                    above = parts >= threshold
+                    bound = np.where(above, parts, threshold).sum(0)
+                    entries = above.any(0) & (bound >= cutoff[:, None])
                 q, r = np.nonzero(entries & (ids[None, :] != self.ids[:, None]))
-                full = parts[:, q, r].sum(0)
-                kept = np.flatnonzero(full >= least[q])
+                full = _held(parts[:, q, r].sum(0))
+                least = self.cutoff if parts.dtype == object else cutoff
+                kept = np.flatnonzero((full >= least[q]).astype(bool))
                 q, r, full = q[kept], r[kept], full[kept]
                 edges = np.searchsorted(q, np.arange(len(self.ids) + 1))
                 for i in np.unique(q):
@@ -122,11 +125,13 @@ class QueryBlock:
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _longs(np.concatenate([s for s, _ in held]) if held else np.zeros(0))], ["query_id", "vec_id", "score"])
 
 
+def _held(values: np.ndarray) -> np.ndarray:
+    """Scores beyond 64 bits at the limit; they then tie with one another."""
+    return values if values.dtype != object else np.clip(values, _LOWEST, _HIGHEST)
+
+
 def _longs(values: np.ndarray) -> pa.Array:
-    """As 64-bit numbers; what lies beyond is held at the limit."""
-    if values.dtype != object:
-        return pa.array(values.astype(np.int64))
-    return pa.array([min(max(math.floor(v), _LOWEST), _HIGHEST) for v in values], pa.int64())
+    return pa.array(values.astype(np.int64) if values.dtype != object else [int(v) for v in values], pa.int64())
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -166,7 +171,8 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     Vectors that are null, or hold a null or non-finite component, take no part,
     nor do rows without vec_id; a shorter vector counts as filled up with zeros;
     repeated rows are candidates each, other than for a query of their own
-    vec_id; scores beyond 64 bits are held at the limit; an empty table gives no
+    vec_id; scores beyond 64 bits are held at the limit before
+    they are ranked; an empty table gives no
     rows.
     """
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
