@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import ALNUM, Words, slices, split_words
 from .automaton import SuffixAutomaton
-from .session import read
+from .session import boxed, read, unboxed, wider
 
 WINDOW = 10
 #: Item words in one automaton; a word takes up to two states, about 300 bytes in all.
@@ -126,8 +126,7 @@ def _hits(docs: DataFrame, index: ItemIndex) -> DataFrame:
                 columns = [pa.array(words.counts), pa.array(spans, out.field("spans").type), pa.array(found, out.field("items").type)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *out.names])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{head}, n_words long, spans array<array<int>>, items array<string>")
+    return docs.mapInArrow(run, wider(docs, "n_words long, spans array<array<int>>, items array<string>"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -157,11 +156,9 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     A changed text keeps its other words, joined by one blank in normalised form;
     a text without such a span stays as it is.
     """
-    found = find_contamination(docs, items, window).withColumn("n_hit", n_hit()).where(~(F.col("n_hit") > F.lit(coverage) * F.col("n_words")))
+    found = find_contamination(boxed(docs), items, window).withColumn("n_hit", n_hit()).where(~(F.col("n_hit") > F.lit(coverage) * F.col("n_words")))
     long_spans = F.filter("spans", lambda x: x[1] - x[0] >= longest)
 
-    columns = docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -172,9 +169,10 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
                     drop = {k for a, b in spans[i] for k in range(a, b)}
                     texts[i] = " ".join(w for k, w in enumerate(kept) if k not in drop)
                 at = part.schema.get_field_index("text")
-                yield part.set_column(at, "text", pa.array(texts, part.schema.field(at).type)).select(columns)
+                yield part.set_column(at, "text", pa.array(texts, part.schema.field(at).type)).select(["row", "text"])
 
-    return found.select(*docs.columns, long_spans.alias("long")).mapInArrow(run, docs.schema)
+    cleaned = found.select("row", "text", long_spans.alias("long")).mapInArrow(run, boxed(docs).schema)
+    return unboxed(cleaned, docs)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

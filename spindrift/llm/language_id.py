@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, sum_by_doc
-from .session import read
+from .session import read, wider
 
 BITS, SCALE = 15, 30.0
 #: Rows that the weights are fitted on, spread evenly over languages.
@@ -210,8 +210,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 best, p = shared.value.predict(part.column("text").cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, names.take(pa.array(best % len(names))), pa.array(p)], [*part.schema.names, "lang_pred", "score"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{head}, lang_pred string, score double")
+    return docs.mapInArrow(run, wider(docs, "lang_pred string, score double"))
 
 
 def remainder(by: int) -> Column:

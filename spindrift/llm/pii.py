@@ -194,13 +194,13 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """`docs` with pseudonyms in their text and the number of each kind replaced, `n_email` and so on."""
+    """`docs` with pseudonyms in their text and the number of each kind replaced, `n_email` and so on, in place of columns so named."""
     text = F.col("text").cast("string")
     found = split_matches(text, ANY)
-    held = docs.withColumn("pii", let(found, lambda f: F.when(f.isNotNull(), F.struct(f["g"].alias("g"), F.transform(f["m"], lambda m: let(pseudonym(m, key), lambda p: F.struct(F.coalesce(p, m).alias("new"), F.when(p.isNotNull(), kind_of(m)).alias("kind")))).alias("v")))))
-    joined = F.array_join(F.zip_with("pii.g", "pii.v", lambda g, v: F.concat(g, F.coalesce(v["new"], F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter("pii.v", lambda v: v["kind"] == k)), F.lit(0)).cast("long")
-    return held.withColumns({"text": F.coalesce(joined, text), **{f"n_{k}": count(k) for k in KINDS}}).drop("pii")
+    held = docs.drop(*(f"n_{k}" for k in KINDS)).withColumn("_pii", let(found, lambda f: F.when(f.isNotNull(), F.struct(f["g"].alias("g"), F.transform(f["m"], lambda m: let(pseudonym(m, key), lambda p: F.struct(F.coalesce(p, m).alias("new"), F.when(p.isNotNull(), kind_of(m)).alias("kind")))).alias("v")))))
+    joined = F.array_join(F.zip_with("_pii.g", "_pii.v", lambda g, v: F.concat(g, F.coalesce(v["new"], F.lit("")))), "")
+    count = lambda k: F.coalesce(F.size(F.filter("_pii.v", lambda v: v["kind"] == k)), F.lit(0)).cast("long")
+    return held.withColumns({"text": F.coalesce(joined, text), **{f"n_{k}": count(k) for k in KINDS}}).drop("_pii")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

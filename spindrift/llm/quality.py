@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import PLAIN, Words, hash_words, slices, split_words, sum_by_doc
 from .language_id import fit_temperature, remainder
-from .session import partitions, read
+from .session import partitions, read, wider
 
 BITS, WIDTH, NONZERO, REACH = 15, 32, 4, 2
 #: Buckets summed together in one row of partial sums.
@@ -209,8 +209,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("text")))], [*part.schema.names, "score"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{head}, score double")
+    return docs.mapInArrow(run, wider(docs, "score double"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

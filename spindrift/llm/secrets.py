@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read
+from .session import boxed, read, unboxed
 from .spans_sql import let, split_matches, with_starts
 
 #: The contract's patterns.
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED, window: int
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span replaced by the mark, spans that touch or overlap by one; n_chars, if there is one, follows the text."""
-    found = find_secrets(docs)
+    found = find_secrets(boxed(docs))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(text: Column, acc: Column, s: Column) -> Column:
@@ -101,10 +101,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     text = F.col("text")
     new = F.aggregate("found", begin, lambda a, s: step(text, a, s), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("found") > 0, new).otherwise(text))
+    changed = F.size("found") > 0
+    values = {"text": F.when(changed, new).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        values["n_chars"] = F.when(changed, F.length(values["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unboxed(found, docs, **values)
 
 
 def span_text(spans: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,3 +38,19 @@ def partitions(spark: SparkSession) -> int:
 def row_key(text: str = "text") -> list:
     """Columns that tell rows apart: rows alike in both are repeats of one another."""
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")]
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """`(row, text)` with all other columns inside `row`, so an operator's own columns never clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` again, those named in `new` with new values."""
+    held = {"text": F.col("text")} | new
+    return df.select(*(held[c].alias(c) if c in held else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def wider(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of `df` with further columns."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])
