@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, language_id, packing, secrets, simhash
-from spindrift.llm.session import read, shared_folder
+from spindrift.llm.session import boxed, read, shared_folder, unboxed
 
 #: Least probability of the predicted language.
 SURE = 0.3
@@ -16,8 +16,8 @@ SURE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; texts without letters, null ones among them, and unsure ones go."""
-    found = language_id.predict(docs, language_id.train_on(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    found = language_id.predict(boxed(docs), language_id.train_on(docs))
+    return unboxed(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go; the others stay as they are."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    found = decontaminate.find_contamination(boxed(docs), read(spark, sf_dir, "benchmark"))
+    return unboxed(found.where(F.size("spans") == 0), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
