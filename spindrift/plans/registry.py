@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, sampling_queries, scene_queries, stream_queries, track_queries  # noqa: F401  (they register)
+from . import metric_queries, path_queries, sampling_queries, scene_queries, stream_queries, track_queries  # noqa: F401  (they register)
 from .bind import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
