@@ -64,10 +64,14 @@ class Words:
         return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def as_list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def hash_words(distinct: pa.StringArray, seed: int = 0) -> np.ndarray:
     """XXH64 of each word."""
     f = xxhash.xxh64_intdigest
-    return np.fromiter((f(w, seed) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return np.fromiter((f(w, seed) for w in as_list(distinct)), np.uint64, len(distinct))
 
 
 def split_words(texts: pa.Array, table: bytes) -> Words:

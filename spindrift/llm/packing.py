@@ -1,9 +1,9 @@
 """Packing documents into sequences along a space-filling curve.
 
-1. A document's words are hashed to signed numbers in a few dimensions; their
+1. A document's tokens are hashed to signed numbers in a few dimensions; their
    mean places the document, and its Hilbert key orders places so that
    neighbours on the curve are alike.
-2. The key is refined by a hash of the row, so that a place that holds very many
+2. The key is refined by a hash of doc_id, so that a place that holds very many
    documents is still cut into parts, and rows of a few numbers each are
    range-sorted.  Running sums of token counts inside each range, on top of the
    ranges' totals, give every document its place in one long stream of tokens.
@@ -18,6 +18,7 @@ result is the tokenizer's own for the whole text.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,15 +26,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, Words, hash_words, ragged, slices, split_words, sum_by_doc
-from .session import cut, partitions, read, row_key
+from .arrow_text import LOWER, Words, as_list, ragged, slices, split_words, sum_by_doc
+from .session import cut, partitions, read
 
 LENGTH, END = 2048, 1
 #: Dimensions of a place, bits of each, and bits of the row's hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 20
+#: Bytes of text tokenised at once: the more, the fewer look-ups of a word.
+SLICE = 6_000_000
 
 _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -41,10 +43,16 @@ _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 class CachedTokenizer:
     """Ids of whole texts by way of their distinct pieces; forgets them beyond `most` pieces."""
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 700_000):
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for texts that normalising would leave alone
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.most = most
         self._forget()
 
@@ -55,45 +63,80 @@ class CachedTokenizer:
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _reserve(self, n: int) -> None:
+        while self.used + n > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+
+    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(pieces)
+        while last > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self._reserve(len(ids))
+        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:last] = sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(first, last), strict=True))
+
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
+        """Words of letters alone are encoded together, a blank between them: each has one closing id."""
+        words, others = [p for p in pieces if p.isalpha()], [p for p in pieces if not p.isalpha()]
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            text = " ".join(some)
+            same = unicodedata.is_normalized("NFC", text) and text.lower() == text
+            ids = np.array((self.plain if same else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) == len(some):
+                self._store(some, ids, np.diff(ends, prepend=-1))
+            else:
+                others += some
+        for at in range(0, len(others), 8192):
+            some = others[at : at + 8192]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, n = len(self.known), int(sizes.sum())
-            while first + len(some) > len(self.size):
-                self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            while self.used + n > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.start[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.size[first : first + len(some)] = sizes
-            self.pool[self.used : self.used + n] = np.fromiter((x for e in ids for x in e), np.uint32, n)
-            self.used += n
-            self.known.update(zip(some, range(first, first + len(some)), strict=True))
-
-    def _codes(self, pieces: pa.StringArray) -> np.ndarray:
-        d = pieces.dictionary_encode()
-        distinct = d.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            self._learn(new)
-        codes = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
-        return codes[d.indices.to_numpy(zero_copy_only=False)]
+            self._store(some, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64))
+
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        codes = list(map(self.known.get, pieces))
+        if None in codes:
+            self._learn(list(dict.fromkeys(p for p, c in zip(pieces, codes, strict=True) if c is None)))
+            codes = list(map(self.known.get, pieces))
+        return np.array(codes, np.int64)
+
+    def _distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin in the pool, and how many they are.
+
+        A letter or digit before a word's closing punctuation parts it from what
+        comes before, so both are looked up on their own and put together past
+        the pool's end.
+        """
+        core = pc.utf8_rtrim(words, characters=_EDGES)
+        core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, words)
+        head_bytes = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        split = np.flatnonzero(head_bytes < pc.binary_length(words).to_numpy(zero_copy_only=False))
+        tails = [w.encode()[n:].decode() for w, n in zip(as_list(words.take(pa.array(split))), head_bytes[split].tolist(), strict=True)]
+        d = core.dictionary_encode()
+        head = self._codes(as_list(d.dictionary))[d.indices.to_numpy(zero_copy_only=False)]
+        tail = self._codes(tails)
+        start, size = self.start[head], self.size[head]
+        if len(split):
+            pairs = np.stack([head[split], tail], axis=1).reshape(-1)
+            both = self.pool[ragged(self.start[pairs], self.size[pairs])]
+            self._reserve(len(both))
+            self.pool[self.used : self.used + len(both)] = both
+            size[split] += self.size[tail]
+            start[split] = self.used + np.cumsum(size[split]) - size[split]
+        return start, size
 
     def encode(self, texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each text's begin; `words` are the texts' words in lower case."""
         if len(self.known) > self.most:
             self._forget()
         distinct, of_word = words.encoded()
-        # a letter or digit before a word's closing punctuation parts it from what comes before
-        core = pc.utf8_rtrim(distinct, characters=_EDGES)
-        core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, distinct)
-        cut_at = pc.binary_length(core).to_pylist()
-        tail = pa.array([w.encode()[n:].decode() for w, n in zip(distinct.to_pylist(), cut_at, strict=True)], pa.string())
-        pieces = np.stack([self._codes(core), self._codes(tail)], axis=1)[of_word].reshape(-1)
-        sizes = self.size[pieces]
-        ids = self.pool[ragged(self.start[pieces], sizes)]
-        starts = np.concatenate(([0], np.cumsum(sizes)))[2 * words.starts]
+        start, size = self._distinct(distinct)
+        sizes = size[of_word]
+        ids = self.pool[ragged(start[of_word], sizes)]
+        starts = np.concatenate(([0], np.cumsum(sizes)))[words.starts]
         # a special token's name in a text is its id, and may hold letters of either case
         special = np.asarray(pc.fill_null(pc.match_substring(texts, "<|"), False))
         if special.any():
@@ -114,12 +157,20 @@ def tokenizer(path: str) -> CachedTokenizer:
     return _tokenizers[path]
 
 
-def places(words: Words) -> np.ndarray:
-    """Each document's place, DIMS numbers of BITS bits: its words' signed hashes averaged and squeezed into 0 to 1."""
-    distinct, of_word = words.encoded()
-    parts = hash_words(distinct).astype("<u8").view("<i2").reshape(-1, 4)[:, :DIMS] / 32768.0
-    mean = sum_by_doc(parts[of_word], words.starts) / np.maximum(words.counts, 1)[:, None]
-    spread = 0.5 + np.arctan(mean * np.sqrt(np.maximum(words.counts, 1))[:, None]) / np.pi
+def _signs(n: int) -> np.ndarray:
+    """For each id below n its hashed vector, DIMS numbers from -1 to 1."""
+    x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x.astype("<u8").view("<i2").reshape(-1, 4)[:, :DIMS].astype(np.float32) / 32768
+
+
+def places(ids: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Each document's place, DIMS numbers of BITS bits: its tokens' hashed vectors averaged and squeezed into 0 to 1."""
+    n = np.maximum(np.diff(starts), 1)[:, None]
+    total = np.stack([sum_by_doc(signs[:, j][ids].astype(np.float64), starts) for j in range(DIMS)], axis=1)
+    spread = 0.5 + np.arctan(total / np.sqrt(n)) / np.pi
     return np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
@@ -152,52 +203,67 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def measure(docs: DataFrame, path: str) -> DataFrame:
-    """`(doc_id, text_hash, key, tokens)` of each row of `(doc_id, text_hash, text)`."""
+TOKENS = "row long, doc_id long, key long, tokens long, ids binary"
+
+
+def tokenise(docs: DataFrame, path: str) -> DataFrame:
+    """Each row of `(doc_id, text)` with a number of its own, its place along the curve and its ids, the closing one included.
+
+    Row numbers name a row for good once the table is written: a task that runs
+    again writes the same partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, own = TaskContext.get().partitionId() << 40, tokenizer(path)
+        signs = _signs(len(own.closes))
+        kind = "<u2" if len(own.closes) <= 1 << 16 else "<u4"
         for batch in batches:
-            for part in slices(batch):
-                words = split_words(part.column("text"), LOWER)
-                _, starts = tokenizer(path).encode(part.column("text"), words)
-                key = hilbert_keys(places(words), BITS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(key), pa.array(np.diff(starts) + 1)], ["doc_id", "text_hash", "key", "tokens"])
+            for part in slices(batch, limit=SLICE):
+                ids, starts = own.encode(part.column("text"), split_words(part.column("text"), LOWER))
+                key = hilbert_keys(places(ids, starts, signs), BITS)
+                size = np.diff(starts) + 1
+                head = np.cumsum(size) - size
+                stream = np.full(int(size.sum()), END, kind)
+                stream[ragged(head, size - 1)] = ids
+                bounds = (np.append(head, size.sum()) * stream.itemsize).astype(np.int32)
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(stream)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(size))), part.column("doc_id"), pa.array(key), pa.array(size), binary], ["row", "doc_id", "key", "tokens", "ids"])
+                row += len(size)
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, key long, tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def place_in_stream(measured: DataFrame) -> DataFrame:
-    """`(doc_id, text_hash, bases)`: where each row's tokens begin in the stream; repeats of a row have a base each.
+def place_in_stream(rows: DataFrame) -> DataFrame:
+    """`(row, base)`: where each row's tokens begin in the stream.
 
     Range partitions are numbered along the curve.  Only their token totals, one
     number for each, come to the driver.
     """
-    spark = measured.sparkSession
-    order = F.shiftleft(F.col("key"), TIE_BITS) + F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << TIE_BITS))
-    rows = measured.groupBy("doc_id", "text_hash").agg(F.first("key").alias("key"), F.first("tokens").alias("tokens"), F.count("*").alias("n"))
-    ranged = rows.withColumn("at", order).repartitionByRange(partitions(spark), "at", "doc_id", "text_hash").sortWithinPartitions("at", "doc_id", "text_hash")
+    spark = rows.sparkSession
+    at = F.shiftleft(F.col("key"), TIE_BITS) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
+    order = ["at", "doc_id", "row"]
+    ranged = rows.withColumn("at", at).select(*order, "tokens").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            size = batch.column("tokens").to_numpy() * batch.column("n").to_numpy()
+            size = batch.column("tokens").to_numpy()
             base = total + np.cumsum(size) - size
             total += int(size.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(np.full(len(size), part, np.int32))], [*batch.schema.names, "base", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tokens"), pa.array(base), pa.array(np.full(len(size), part, np.int32))], ["row", "tokens", "base", "part"])
 
-    based = cut(ranged.select("doc_id", "text_hash", "tokens", "n").mapInArrow(run, "doc_id long, text_hash long, tokens long, n long, base long, part int"))
-    totals = {r.part: r.total for r in based.groupBy("part").agg(F.sum(F.col("tokens") * F.col("n")).alias("total")).collect()}
-    before, sofar = {}, 0
-    for part in sorted(totals):
-        before[part] = sofar
-        sofar += totals[part]
-    if not before:
-        return based.select("doc_id", "text_hash", F.lit(None).cast("array<long>").alias("bases"))
-    offset = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part")).cast("long")
-    bases = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.col("first") + i * F.col("tokens"))
-    return based.withColumn("first", F.col("base") + offset).select("doc_id", "text_hash", bases.alias("bases"))
+    based = cut(ranged.mapInArrow(run, "row long, tokens long, base long, part int"))
+    totals = {r.part: r.total for r in based.groupBy("part").agg(F.sum("tokens").alias("total")).collect()}
+    before, sofar = [], 0
+    for part in range(max(totals, default=0) + 1):
+        before.append(sofar)
+        sofar += totals.get(part, 0)
+    offset = F.get(F.array(*(F.lit(x).cast("long") for x in before)), F.col("part"))
+    return based.select("row", (F.col("base") + offset).alias("base"))
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -205,23 +271,21 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """Pieces of every document's tokens in sequences of `length`; with_ids adds each piece's ids."""
-    keyed = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bases = place_in_stream(cut(measure(keyed, path)))
-    nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("text_hash")) - 1
-    same = [F.col("k.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("k.text_hash") == F.col("b.text_hash")]
-    based = keyed.withColumn("nth", nth).alias("k").join(bases.alias("b"), same).select("k.doc_id", "text", F.get("bases", F.col("nth")).alias("base"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = cut(tokenise(texts, path))
+    based = rows.select("row", "doc_id", "tokens", "ids").join(place_in_stream(rows), "row").select("doc_id", "tokens", "base", "ids")
     schema = PIECE + (", ids array<int>" if with_ids else "")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                ids, starts = tokenizer(path).encode(part.column("text"), split_words(part.column("text"), LOWER))
-                size = np.diff(starts) + 1
-                base = part.column("base").to_numpy()
-                stream = np.full(int(size.sum()), END, "<u4")
+            for part in slices(batch, "ids"):
+                size, base = part.column("tokens").to_numpy(), part.column("base").to_numpy()
+                binary = part.column("ids")
+                bounds = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(size) + 1]
+                wide = (bounds[-1] - bounds[0]) // int(size.sum())
+                stream = np.frombuffer(binary.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(f"<u{wide}").astype("<u4")
                 head = np.cumsum(size) - size
-                stream[ragged(head, size - 1)] = ids
                 pieces = (base + size - 1) // length - base // length + 1
                 doc = np.repeat(np.arange(len(size)), pieces)
                 sequence = base[doc] // length + ragged(np.zeros(len(size), np.int64), pieces)
