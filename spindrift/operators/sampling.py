@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def hashed_order(id_: Column, seed: int = 0) -> Column:
-    """A portable pseudo-random key: a multiplicative congruence over a prime."""
-    return (id_ * 48271 + seed) % 2147483647
+    """A portable pseudo-random key: a multiplicative congruence over a prime, whose factor scatters small numbers too."""
+    return ((id_ % 2147483647).cast("long") * 742938285 + seed) % 2147483647
 
 
 def top_k(df: DataFrame, score: str, id_: str, k: int) -> DataFrame:

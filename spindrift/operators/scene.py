@@ -191,3 +191,48 @@ def sample_channel(points: DataFrame, frames: DataFrame, raster: str, x: Column,
 def nearest_pixel(points: DataFrame, frames: DataFrame, raster: str, x: Column, y: Column) -> DataFrame:
     joined = points.join(frames.select("frame", "h", "w", raster), "frame")
     return joined.withColumn("sampled", pixel(F.col(raster), F.bround(x), F.bround(y), F.col("h"), F.col("w"), outside=0.0)).drop(raster, "h", "w")
+
+
+def uncovered_background(frames: DataFrame, cameras: DataFrame, seq: str = "seq", least: int = 64, by: int = 8, seed: int = 0) -> DataFrame:
+    """`(seq, frame, x, y, z)`: background pixels of each frame outside of the box that earlier frames' points reproject to.
+
+    `frames` has `(seq, frame, h, w, depth, mask)`, a mask below 0 being
+    background; a frame that adds fewer than `least` pixels is skipped, of others
+    max(n // by, least) are taken, by hashed order.  Which pixels a frame adds
+    depends on all frames before it, so a sequence is folded in one task, frame
+    by frame, on what was sampled so far; sequences run in parallel.
+    """
+    import pandas as pd
+
+    def boxed(points: list, w2c: np.ndarray, k: np.ndarray, h: int, w: int) -> tuple[int, int, int, int]:
+        x0, y0, x1, y1 = w, h, 0, 0
+        for p in points:
+            cam = p @ w2c[:3, :3].T + w2c[:3, 3]
+            z = np.maximum(cam[:, 2], 1e-6)
+            u, v = (k[0] * cam[:, 0] + k[2] * cam[:, 2]) / z, (k[1] * cam[:, 1] + k[3] * cam[:, 2]) / z
+            x0, y0, x1, y1 = min(x0, int(u.min())), min(y0, int(v.min())), max(x1, int(u.max())), max(y1, int(v.max()))
+        return max(0, x0), max(0, y0), min(w, x1), min(h, y1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, out = [], []
+        for r in pdf.sort_values("frame").itertuples():
+            depth, mask = np.asarray(r.depth, float).reshape(r.h, r.w), np.asarray(r.mask, float).reshape(r.h, r.w)
+            w2c, k = np.asarray(r.w2c, float).reshape(4, 4), np.array([r.fx, r.fy, r.cx, r.cy])
+            free = (mask < 0) & (depth > 0)
+            x0, y0, x1, y1 = boxed(points, w2c, k, r.h, r.w)
+            free[y0:y1, x0:x1] = False
+            y, x = np.nonzero(free)
+            if len(x) < least:
+                continue
+            ids = y * r.w + x
+            pick = np.sort(np.lexsort((ids, (ids * 742938285 + seed) % 2147483647))[: max(len(x) // by, least)])
+            d = depth[y[pick], x[pick]]
+            cam = np.stack([(x[pick] - k[2]) / k[0] * d, (y[pick] - k[3]) / k[1] * d, d], 1)
+            world = (cam - w2c[:3, 3]) @ w2c[:3, :3]
+            points.append(world)
+            out.append(pd.DataFrame({seq: getattr(r, seq), "frame": r.frame, "x": world[:, 0], "y": world[:, 1], "z": world[:, 2]}))
+        return pd.concat(out) if out else pd.DataFrame({seq: [], "frame": [], "x": [], "y": [], "z": []})
+
+    joined = frames.select(seq, "frame", "h", "w", "depth", "mask").join(cameras.select(seq, "frame", "fx", "fy", "cx", "cy", "w2c"), [seq, "frame"])
+    kind = frames.schema[seq].dataType.simpleString()
+    return joined.groupBy(seq).applyInPandas(run, f"`{seq}` {kind}, frame long, x double, y double, z double")

@@ -34,19 +34,19 @@ def grid_balanced_topk(spark, sf_dir):
     return d.select("id", "cx", "cy", F.col("rank_in_cell").cast("long").alias("rank_in_cell"))
 
 
-@query(f"""WITH {_DISTINCT}, f AS (SELECT count(DISTINCT month) AS n, max(month) AS last FROM u), r AS (SELECT id, month, row_number() OVER (PARTITION BY month ORDER BY (id * 48271) % 2147483647, id) AS k FROM u)
+@query(f"""WITH {_DISTINCT}, f AS (SELECT count(DISTINCT month) AS n, max(month) AS last FROM u), r AS (SELECT id, month, row_number() OVER (PARTITION BY month ORDER BY (id % 2147483647) * 742938285 % 2147483647, id) AS k FROM u)
 SELECT id, month FROM r, f WHERE k <= CASE WHEN month = last THEN 1000 - 1000 // n * (n - 1) ELSE 1000 // n END""")
 def quota_sample(spark, sf_dir):
     return sampling.quota_sample(_distinct_lines(spark, sf_dir), "month", "id", 1000).select("id", "month")
 
 
-@query(f"""WITH {_DISTINCT}, r AS (SELECT id, cx, row_number() OVER (PARTITION BY cx ORDER BY (id * 48271) % 2147483647, id) AS k FROM u)
+@query(f"""WITH {_DISTINCT}, r AS (SELECT id, cx, row_number() OVER (PARTITION BY cx ORDER BY (id % 2147483647) * 742938285 % 2147483647, id) AS k FROM u)
 SELECT id, cx FROM r WHERE k <= (SELECT ceil(100.0 / count(DISTINCT cx)) FROM u) ORDER BY cx, k LIMIT 100""")
 def ceil_quota_sample(spark, sf_dir):
     return sampling.ceil_quota_sample(_distinct_lines(spark, sf_dir), "cx", "id", 100).select("id", "cx")
 
 
-@query(f"""WITH {_DISTINCT}, r AS (SELECT id, month, row_number() OVER (PARTITION BY month ORDER BY (id * 48271) % 2147483647, id) AS k, count(*) OVER (PARTITION BY month) AS n FROM u)
+@query(f"""WITH {_DISTINCT}, r AS (SELECT id, month, row_number() OVER (PARTITION BY month ORDER BY (id % 2147483647) * 742938285 % 2147483647, id) AS k, count(*) OVER (PARTITION BY month) AS n FROM u)
 SELECT id, month FROM r WHERE k <= greatest(n // 8, 64)""")
 def thinned_sample(spark, sf_dir):
     return sampling.thin(_distinct_lines(spark, sf_dir), "month", "id").select("id", "month")

@@ -270,7 +270,7 @@ def lift_tracks(spark, sf_dir):
 
 
 @query(f"""WITH {_PIX}, b AS (SELECT frame, y, x, v + 2 AS d, y * 8 + x AS point_id FROM px WHERE frame < 40 AND v <= -0.25),
-r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY point_id * 48271 % 2147483647, point_id) AS k FROM b)
+r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY (point_id % 2147483647) * 742938285 % 2147483647, point_id) AS k FROM b)
 SELECT frame, point_id, round(cos(frame*0.05)*(x-3.5)/10*d + sin(frame*0.05)*d + frame*0.1, 4) AS x, round((y-3.5)/10*d + 0.2, 4) AS y, round(cos(frame*0.05)*d - sin(frame*0.05)*(x-3.5)/10*d - 1, 4) AS z FROM r WHERE k <= 5""")
 def background_points(spark, sf_dir):
     return rounded(scene.background_points(_frames(spark, sf_dir), _frame_cameras(spark, sf_dir), 5), 4)

@@ -62,3 +62,14 @@ def test_capture_lifts_its_tracks(spark, tmp_path):
     assert c.keypoints().count() == 0 and c.normaliser().first().scale == pytest.approx(0.1)
     with pytest.raises(ValueError):
         open_capture(spark, "tape", str(tmp_path))
+
+
+def test_background_that_earlier_frames_cover_is_left_out(spark):
+    from spindrift.operators.scene import uncovered_background
+
+    eye = [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    moved = [1.0, 0, 0, -8, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    frames = spark.createDataFrame([("s", f, 16, 16, [2.0] * 256, [-1.0] * 256) for f in range(3)], "seq string, frame int, h int, w int, depth array<double>, mask array<double>")
+    cams = spark.createDataFrame([("s", 0, 10.0, 10.0, 8.0, 8.0, [float(v) for v in eye]), ("s", 1, 10.0, 10.0, 8.0, 8.0, [float(v) for v in eye]), ("s", 2, 10.0, 10.0, 8.0, 8.0, [float(v) for v in moved])], "seq string, frame int, fx double, fy double, cx double, cy double, w2c array<double>")
+    counts = {r.frame: r["count"] for r in uncovered_background(frames, cams, least=64, by=2).groupBy("frame").count().collect()}
+    assert counts == {0: 128, 2: 128}  # frame 1 sees what frame 0 saw; frame 2 looks elsewhere
