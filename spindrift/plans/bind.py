@@ -33,7 +33,8 @@ def rounded(df: DataFrame, places: int = 5) -> DataFrame:
     return df.select(*(F.round(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-TRACK_ORDER = W.partitionBy("track_id").orderBy("t")
+def track_order() -> W:
+    return W.partitionBy("track_id").orderBy("t")
 
 
 def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:

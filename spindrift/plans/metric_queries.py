@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import losses, metrics
-from .bind import TRACK_ORDER, TRACKS_SQL, query, rounded, table, track_table
+from .bind import track_order, TRACKS_SQL, query, rounded, table, track_table
 
 _LAGGED = f"""WITH {TRACKS_SQL}, p AS (
   SELECT *, lag(x) OVER w AS px, lag(visible) OVER w AS pvis FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY t)
@@ -14,7 +14,7 @@ _LAGGED = f"""WITH {TRACKS_SQL}, p AS (
 
 def _lagged(spark, sf_dir):
     t = track_table(spark, sf_dir)
-    p = t.withColumns({"px": F.lag("x").over(TRACK_ORDER), "pvis": F.lag("visible").over(TRACK_ORDER)})
+    p = t.withColumns({"px": F.lag("x").over(track_order()), "pvis": F.lag("visible").over(track_order())})
     return p.withColumns({"sq": (F.col("x") - F.col("px")) ** 2, "evaluated": F.col("px").isNotNull()})
 
 
