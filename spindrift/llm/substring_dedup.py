@@ -89,10 +89,11 @@ def _anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 def _shared(anchors: DataFrame) -> DataFrame:
     """Per document its anchors that other documents have too, with their owners and the number of tasks an owner is dealt over."""
-    owned = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner")
-    pairs = anchors.join(owned, "anchor")
-    deals = pairs.groupBy("owner").count().where(F.col("count") > OWNER_ANCHORS).select("owner", F.ceil(F.col("count") / OWNER_ANCHORS).cast("int").alias("deals"))
-    return pairs.join(deals, "owner", "left").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner", F.coalesce("deals", F.lit(1)).alias("deals"))).alias("shared"))
+    owned = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("owner < last")
+    # an owner has no more anchors than its own text holds, so this join meets no hot key
+    deals = owned.groupBy("owner").agg(F.ceil(F.sum("n") / OWNER_ANCHORS).cast("int").alias("deals"))
+    dealt = owned.select("anchor", "owner").join(deals, "owner")
+    return anchors.join(dealt, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner", "deals")).alias("shared"))
 
 
 PASSAGE = "owner long, deal int, deals int, doc_id long, text_hash long, start int, words string"
