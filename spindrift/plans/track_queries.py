@@ -158,9 +158,9 @@ def exact_quantile_histogram(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(a), 4).alias("q37"), F.round(F.lit(b), 4).alias("q999"))
 
 
-@query(f"WITH a AS ({_AXES}) SELECT min(x) AS min_x, max(x) AS max_x, round(min(y), 5) AS min_y, round(max(y), 5) AS max_y, round((max(x) - min(x)) * 1.25, 5) AS size_x, round((max(y) - min(y)) * 1.25, 5) AS size_y FROM a")
+@query(f"WITH a AS ({_AXES}) SELECT min(x) AS min_x, max(x) AS max_x, round(min(y), 8) AS min_y, round(max(y), 8) AS max_y, round((max(x) - min(x)) * 1.25, 8) AS size_x, round((max(y) - min(y)) * 1.25, 8) AS size_y FROM a")
 def camera_bounds(spark, sf_dir):
-    return rounded(robust.bounding_box(_axes(spark, sf_dir), ["x", "y"]))
+    return rounded(robust.bounding_box(_axes(spark, sf_dir), ["x", "y"]), 8)
 
 
 @query(f"WITH a AS ({_AXES}) SELECT round(avg(x), 4) AS mean_x, median(x) AS median_x, round(avg(y), 4) AS mean_y, round(median(y), 4) AS median_y FROM a")
