@@ -29,6 +29,8 @@ STRIP = 256
 TRAINING_ROWS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 THRESHOLD = 0.3
+#: Bytes of text whose words' vectors are held at once.
+SLICE = 1_000_000
 
 
 def index_vectors() -> np.ndarray:
@@ -68,7 +70,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS, WIDTH + 1), np.int64)
         for batch in batches:
-            for part in slices(batch, limit=2_000_000):
+            for part in slices(batch, limit=SLICE):
                 words = split_words(part.column("text"), PLAIN)
                 at = buckets(words)
                 if not len(at):
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Qual
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 x = pool(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([row.tobytes() for row in x], pa.binary())], ["label", "x"])
 
@@ -206,7 +208,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("text")))], [*part.schema.names, "score"])
 
     return docs.mapInArrow(run, wider(docs, "score double"))
