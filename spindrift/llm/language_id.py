@@ -32,6 +32,8 @@ TRAINING_ROWS = 3000
 #: Step size, its damping, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1e-4, 1e-3, 4
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once.
+SLICE = 2_000_000
 
 
 def ngram_buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -55,7 +57,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 grams, starts = ngram_buckets(part.column("text"))
                 n += len(part)
                 for a, b in zip(starts[:-1].tolist(), (starts[1:] - 2).tolist(), strict=True):
@@ -91,7 +93,7 @@ def _features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 grams, starts = ngram_buckets(part.column("text"))
                 found = [np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True) for a, b in zip(starts[:-1], starts[1:] - 2, strict=True)]
                 columns = [pa.array([u.astype(np.int32).tobytes() for u, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())]
@@ -206,7 +208,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*shared.value.languages, UNKNOWN], pa.string())
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 best, p = shared.value.predict(part.column("text").cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, names.take(pa.array(best % len(names))), pa.array(p)], [*part.schema.names, "lang_pred", "score"])
 
