@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, language_id, packing, secrets, simhash
+from spindrift.llm import decontaminate, language_id, packing, secrets, shingle_sets, simhash
 from spindrift.llm.session import boxed, read, shared_folder, unboxed
 
 #: Least probability of the predicted language.
@@ -21,10 +21,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies, and rows without doc_id."""
+    """op10's rule on whole rows, fingerprints within 2 bits; the pipeline runs `drop_similar`."""
     return simhash.deduplicate(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group linked by 5-word-shingle similarity of 0.8 or more, and rows without doc_id."""
+    return shingle_sets.deduplicate(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go; the others stay as they are."""
     found = decontaminate.find_contamination(boxed(docs), read(spark, sf_dir, "benchmark"))
@@ -43,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_near_dedup", drop_near_copies),
+    ("shingle_near_dedup", drop_similar),
     ("benchmark_decontamination", drop_contaminated),
     ("secret_scan", redact_secrets),
     ("packing", pack_sequences),

@@ -18,7 +18,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,8 +248,8 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def near_components(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """`(doc_id, fp)` -> `(doc_id, fp, component_id)`: the smallest doc_id reachable through links of at most `radius` bits.
+def components_by_key(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`(doc_id, fp)` -> `(doc_id, fp, component_id)`: the smallest doc_id reachable through equal fps and `links` of `(fp, node)`, node the smallest doc_id of an fp.
 
     Rows with the same doc_id count as one document.  A null doc_id is no name
     for a component: such a row keeps a null component_id and links nothing.
@@ -257,20 +257,29 @@ def near_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
     ids = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("doc_id")
     same = prints.join(ids, "doc_id").join(nodes, "fp").where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = connected_components(near_links(nodes, radius).unionAll(same))
+    roots = connected_components(links(nodes).unionAll(same))
     reach = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id"))
     found = prints.join(reach, "fp", "left")
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, shingle_words: int = 3) -> DataFrame:
-    """Rows of one document for each near-duplicate group, the one with the smallest doc_id; repeats of it are kept once, rows without doc_id stay."""
-    prints = cut(fingerprints(docs, shingle_words))
-    kept = near_components(prints, radius).where("doc_id = component_id").select("doc_id").distinct()
+def near_components(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """`(doc_id, fp)` -> `(doc_id, fp, component_id)` by links of at most `radius` bits."""
+    return components_by_key(prints, lambda nodes: near_links(nodes, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the document that names its component, repeats of it once, and rows without doc_id."""
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
+def deduplicate(docs: DataFrame, radius: int = 2, shingle_words: int = 3) -> DataFrame:
+    """Rows of one document for each near-duplicate group, the one with the smallest doc_id; repeats of it are kept once, rows without doc_id stay."""
+    return first_of_each(docs, near_components(cut(fingerprints(docs, shingle_words)), radius))
+
+
 def fingerprint_text(fp: Column) -> Column:
     """The fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -2,10 +2,14 @@
 
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from spindrift.llm import decontaminate
+from spindrift.llm import decontaminate, shingle_sets
 from spindrift.llm import queries as q
 
+from .conftest import documents, words
+
 
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -42,3 +46,37 @@ def test_entry_lists_everything():
     import __spark_entry__ as e
 
     assert {*q.QUERIES, "pipeline"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_near_copies_by_shingle_similarity(spark, docs, folder):
+    """The stage's groups are those of all pairs by the plain rule."""
+    stage = dict(corpus_pipeline.STAGES)["shingle_near_dedup"]
+    kept = sorted(r.doc_id for r in stage(spark, docs, folder).collect() if r.doc_id is not None)
+    rows = sorted({(i, t) for i, t, *_ in documents() if i is not None}, key=lambda r: r[0])
+    sets = []
+    for _, text in rows:
+        w = words(text, lower=True)
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert kept == sorted({rows[r][0] for r in root})
+    assert not set(kept) & set(range(130, 140))
+
+
+def test_group_comparison_is_exact():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 10**9, 60)
+    sets = [np.unique(np.concatenate((np.delete(base, rng.integers(0, 60, k % 14)), rng.integers(0, 10**9, k % 9)))) for k in range(80)] + [np.unique(rng.integers(0, 10**9, 50)) for _ in range(20)]
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert shingle_sets.join_group(np.concatenate(sets), starts).tolist() == root
