@@ -40,17 +40,30 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of the windows of an ASCII text at least as long as one."""
+    bits = (window + 1).bit_length()
+    each = 63 // bits
     terms = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
     codes = F.transform(F.split(text, ""), F.ascii)
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-128 // each)).alias("n"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+    # for each code the number that holds its count, and the count's unit in it
+    place = F.array(*(F.lit(c // each) for c in range(128)))
+    unit = F.array(*(F.lit(1 << bits * (c % each)).cast("long") for c in range(128)))
+
+    def count(n: Column, code: Column) -> Column:
+        return (F.get(n, F.get(place, code)) / F.get(unit, code)).cast("long") % (1 << bits)
 
     def moved(chars: Column, acc: Column, i: Column) -> Column:
         enters = F.get(chars, i)
         leaves = F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(-1))
-        n_in, n_out = F.get(acc["n"], enters), F.get(acc["n"], leaves)
-        change = F.get(terms, n_in + 1) - F.get(terms, n_in) + F.when(leaves >= 0, F.get(terms, n_out - 1) - F.get(terms, n_out)).otherwise(0.0)
-        counts = F.transform(acc["n"], lambda n, c: n + (c == enters).cast("int") - (c == leaves).cast("int"))
-        now = F.when(enters == leaves, acc["sum"]).otherwise(acc["sum"] + change)
+
+        def change(p: Column) -> Column:
+            n_in, n_out = p["n_in"].cast("int"), p["n_out"].cast("int")
+            return F.get(terms, n_in + 1) - F.get(terms, n_in) + F.when(leaves >= 0, F.get(terms, n_out - 1) - F.get(terms, n_out)).otherwise(0.0)
+
+        both = F.struct(count(acc["n"], enters).alias("n_in"), count(acc["n"], leaves).alias("n_out"))
+        now = F.when(enters == leaves, acc["sum"]).otherwise(acc["sum"] + let(both, change))
+        at_in, at_out = F.get(place, enters), F.get(place, leaves)
+        counts = F.transform(acc["n"], lambda n, c: n + F.when(c == at_in, F.get(unit, enters)).otherwise(0) - F.when(c == at_out, F.get(unit, leaves)).otherwise(0))
         return let(F.struct(counts.alias("n"), now.alias("sum")), lambda s: F.struct(s["n"].alias("n"), s["sum"].alias("sum"), F.when(i >= window - 1, F.least(acc["least"], s["sum"])).otherwise(acc["least"]).alias("least")))
 
     least = let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), zero, lambda a, i: moved(c, a, i), lambda a: a["least"]))
@@ -80,13 +93,15 @@ def _spans(found: Column, kind: str, kept=None) -> Column:
 
 
 def find_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED, window: int = WINDOW) -> DataFrame:
-    """`docs` with `base` and `found`: base spans and all spans, each by start, then kind."""
-    text = F.col("whole_text")
+    """`docs` with `base` and `found`: base spans and all spans, each by start, then kind; columns so named give way."""
+    text = F.col("text")
     assign = _spans(split_matches(text, ASSIGN, value=2), "assign", lambda f, i: F.length(F.get(f["value"], i)) >= LEAST_VALUE)
     base = F.array_sort(F.concat(assign, _spans(split_matches(text, ACCESS), "access"), _spans(split_matches(text, HEX), "hex")))
     extra = _spans(split_matches(text, CANDIDATE), "entropy", lambda f, i: is_random(F.get(f["m"], i), classes, allowed, window))
-    held = docs.withColumn("whole_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return held.withColumns({"base": base, "extra": extra}).withColumn("found", F.array_sort(F.concat("base", "extra"))).drop("whole_text", "extra")
+    rest = [c for c in docs.columns if c.lower() not in ("base", "found")]
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = held.withColumns({"base": base, "extra": extra}).withColumn("found", F.array_sort(F.concat("base", "extra")))
+    return held.select(*(F.col("row").getField(c).alias(c) for c in rest), "base", "found")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -102,10 +117,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.col("text")
     new = F.aggregate("found", begin, lambda a, s: step(text, a, s), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     changed = F.size("found") > 0
-    values = {"text": F.when(changed, new).otherwise(text)}
+    held = found.withColumn("redacted", F.when(changed, new).otherwise(text))
+    values = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length(values["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return unboxed(found, docs, **values)
+        values["n_chars"] = F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unboxed(held, docs, **values)
 
 
 def span_text(spans: Column) -> Column:
@@ -116,8 +132,9 @@ def span_text(spans: Column) -> Column:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document.
 
-    A null or empty text has none and an empty list of spans; repeated rows give
-    repeated rows; an empty table gives no rows; further columns are not read.
+    A null or empty text has none and an empty list of spans; a very long text,
+    or candidate, counts whole; repeated rows give repeated rows; an empty table
+    gives no rows; further columns are not read.
     """
     found = find_secrets(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")

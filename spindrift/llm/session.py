@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own, which local mode alone can share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,7 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spindrift/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and that nothing will read again, other tables having been written from them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that have been written as tables: it does so for what its driver no longer refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,9 +65,13 @@ def boxed(docs: DataFrame) -> DataFrame:
 
 
 def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
-    """The columns of `docs` again, those named in `new` with new values."""
-    held = {"text": F.col("text")} | new
-    return df.select(*(held[c].alias(c) if c in held else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The columns of `docs` again, those named in `new` with new values.
+
+    New values are worked out under names of their own first: inside a lambda a
+    column's name would otherwise mean the new column of that name.
+    """
+    held = df.withColumns({f"new_{c}": value for c, value in ({"text": F.col("text")} | new).items()})
+    return held.select(*((F.col(f"new_{c}") if f"new_{c}" in held.columns else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def wider(df: DataFrame, ddl: str) -> T.StructType:
