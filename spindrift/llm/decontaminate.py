@@ -11,15 +11,17 @@ rest of a document is passed over by a vectorised look-up and the automaton
 sees the stretches alone.
 
 Items are held in automata of at most MOST_WORDS item words each, which bounds
-what is broadcast whatever the size of the test set: a larger one takes several
-passes over the documents, and the passes' hits are united.
+what is broadcast whatever the size of the test set.  A larger one takes several
+passes over the documents, each with an automaton of its own, which is freed
+before the next is built; the passes' hits, rows of the texts that have some,
+are united.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 
 from .arrow_text import ALNUM, Words, slices, split_words
 from .automaton import SuffixAutomaton
-from .session import boxed, read, unboxed, wider
+from .session import boxed, cut, read, unboxed, wider
 
 WINDOW = 10
-#: Item words in one automaton; a word takes up to two states, about 300 bytes in all.
+#: Item words in one automaton; a word takes up to two states, about 600 bytes in all.
 MOST_WORDS = 200_000
 
+#: Words of a text as it is, those that ALNUM finds in lower case.
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
 
 class ItemIndex:
     """Automaton of some items, with the items that have a window ending in each state."""
@@ -104,10 +109,8 @@ def _item_shards(items: DataFrame, window: int) -> Iterator[ItemIndex]:
     yield ItemIndex(held, window)
 
 
-def _hits(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    """Every document row with its number of words, hit spans `[start, end)` in words and the items found in it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+def _hits(docs: DataFrame, shared) -> DataFrame:
+    """Every document row with its number of words, hit spans `[start, end)` in words and the items found in it; shared: a broadcast index."""
     out = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +132,32 @@ def _hits(docs: DataFrame, index: ItemIndex) -> DataFrame:
     return docs.mapInArrow(run, wider(docs, "n_words long, spans array<array<int>>, items array<string>"))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with `n_words`, `spans` and `items`; a test set of several automata widens the two lists pass by pass.
+def _text_key(text) -> list:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
-    No shuffle: each pass maps over the documents, in the partitions they have.
-    """
-    shards = list(_item_shards(items, window))
-    found = _hits(docs, shards[0])
 
-    def again(sofar: DataFrame, index: ItemIndex) -> DataFrame:
-        more = _hits(sofar.withColumnsRenamed({"spans": "spans0", "items": "items0"}).drop("n_words"), index)
-        return more.withColumns({"spans": F.concat("spans0", "spans"), "items": F.array_sort(F.array_distinct(F.concat("items0", "items")))}).drop("spans0", "items0")
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` with `n_words`, `spans` and `items`.
 
-    return reduce(again, shards[1:], found)
+    A test set of one automaton needs no shuffle.  Spans of several may overlap;
+    the hits of all but the first are written to the shared folder pass by pass.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    shards = _item_shards(items, window)
+    found, more = _hits(docs, broadcast(next(shards))), None
+    texts = docs.select("text").where("text IS NOT NULL")
+    for index in shards:
+        shared = broadcast(index)
+        own = cut(_hits(texts, shared).where(F.size("spans") > 0).select(*_text_key("text"), "spans", "items").dropDuplicates(["h1", "h2"]))
+        shared.destroy()
+        more = own if more is None else more.unionAll(own)
+    if more is None:
+        return found
+    lists = [F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("spans", "items")]
+    both = found.select("*", *_text_key("text")).join(more.groupBy("h1", "h2").agg(*lists), ["h1", "h2"], "left")
+    joined = lambda c: F.concat(c, F.coalesce(f"more_{c}", F.array().cast(found.schema[c].dataType)))
+    return both.select(*docs.columns, "n_words", joined("spans").alias("spans"), F.array_sort(F.array_distinct(joined("items"))).alias("items"))
 
 
 def n_hit(spans: str = "spans"):
@@ -150,37 +166,62 @@ def n_hit(spans: str = "spans"):
     return F.expr(f"aggregate(array_sort({spans}), struct(0L AS n, 0 AS upto), (acc, x) -> struct(acc.n + greatest({step}, 0) AS n, greatest(acc.upto, x[1]) AS upto), acc -> acc.n)")
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """Documents without their hit spans of `longest` words or more; documents hit in over `coverage` of their words go entirely.
-
-    A changed text keeps its other words, joined by one blank in normalised form;
-    a text without such a span stays as it is.
+def without_words(text: str, spans: list[list[int]]) -> str:
+    """text without the stretches from the first to the last word of each span `[start, end)`, and one of the blanks around each."""
+    drop = set()
+    for a, b in spans:
+        drop.update(range(a, b))
+    out, at, begin, end = [], 0, None, None
+    for k, word in enumerate(_WORD.finditer(text)):
+        if k in drop:
+            begin, end = word.start() if begin is None else begin, word.end()
+        elif begin is not None:
+            out.append(text[at:begin])
+            at, begin = end + (text[begin - 1 : begin].isspace() and text[end : end + 1].isspace()), None
+    if begin is not None:
+        out.append(text[at:begin])
+        at = end + (text[begin - 1 : begin].isspace() and text[end : end + 1].isspace())
+    return "".join([*out, text[at:]])
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = 1, coverage: float = 0.5) -> DataFrame:
+    """Documents without their hit spans of `least` words or more; documents hit in over `coverage` of their words go entirely.
+
+    What is left of a text stays as it was written; n_chars, if there is one,
+    follows a changed text.  A null text, or one without such a span, stays.
     """
     found = find_contamination(boxed(docs), items, window).withColumn("n_hit", n_hit()).where(~(F.col("n_hit") > F.lit(coverage) * F.col("n_words")))
-    long_spans = F.filter("spans", lambda x: x[1] - x[0] >= longest)
+    long_spans = F.filter("spans", lambda x: x[1] - x[0] >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                spans, texts = part.column("long").to_pylist(), part.column("text").to_pylist()
-                words = split_words(part.column("text"), ALNUM)
-                for i in (i for i, s in enumerate(spans) if s):
-                    kept = words.flat[words.starts[i] : words.starts[i + 1]].to_pylist()
-                    drop = {k for a, b in spans[i] for k in range(a, b)}
-                    texts[i] = " ".join(w for k, w in enumerate(kept) if k not in drop)
-                at = part.schema.get_field_index("text")
-                yield part.set_column(at, "text", pa.array(texts, part.schema.field(at).type)).select(["row", "text"])
-
-    cleaned = found.select("row", "text", long_spans.alias("long")).mapInArrow(run, boxed(docs).schema)
-    return unboxed(cleaned, docs)
+                changed = np.flatnonzero(np.asarray(pc.greater(pc.list_value_length(part.column("long")), 0)))
+                texts = part.column("text")
+                if len(changed):
+                    texts = texts.to_pylist()
+                    for i in changed.tolist():
+                        texts[i] = without_words(texts[i], part.column("long")[i].as_py())
+                flags = np.zeros(len(part), bool)
+                flags[changed] = True
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()) if len(changed) else texts, pa.array(flags)], ["row", "text", "changed"])
+
+    boxes = boxed(docs).withColumn("text", F.col("text").cast("string"))
+    cleaned = found.select("row", F.col("text").cast("string").alias("text"), long_spans.alias("long")).mapInArrow(run, wider(boxes, "changed boolean"))
+    new = {}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unboxed(cleaned, docs, **new)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item.
 
     A null or wordless text has no words and no hits; a null or wordless item
-    has no window; an item without id hits words but is not counted; repeated
-    rows of either table give the same results; no items: nothing is hit.
+    has no window; an item without id hits words but is not counted; a very long
+    text counts whole; repeated rows of either table give the same results; no
+    items: nothing is hit; an empty table gives no rows; further columns of
+    either table are not read.
     """
     found = find_contamination(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), read(spark, sf_dir, "benchmark"))
     n = n_hit()
