@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import LOWER, Words, ragged, slices, split_words, sum_by_doc
-from .components import connected_components
+from .components import connected_components, spread_join
 from .session import cut, partitions, read
 
-#: Fingerprints wanted in a shard, the tree's sample points for each shard, and the most sample points (512 KB).
-SHARD, SAMPLES_PER_SHARD, MOST_SAMPLES = 2048, 16, 65_536
+#: Fingerprints wanted in a shard, the tree's sample points for each shard, and about the most sample points (8 MB).
+SHARD, SAMPLES_PER_SHARD, MOST_SAMPLES = 2048, 16, 1 << 20
 #: Members of a shard that are compared with one another at once.
 BLOCK = 256
 #: A split must leave each side at most so much of its parent, else the node is not split.
@@ -202,17 +202,21 @@ def join_shard(points: np.ndarray, r: int, seed: int = 11) -> np.ndarray:
 def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     """`(fp, node)` with distinct fps -> links `(u, v)` between nodes; their components are those of all pairs within `radius` bits.
 
-    The tree is fitted on the SAMPLES_PER_SHARD * shards fingerprints of lowest
-    hash, MOST_SAMPLES at most; every fingerprint is routed through it.
+    The tree is fitted on about SAMPLES_PER_SHARD fingerprints for each shard,
+    and MOST_SAMPLES in all, picked by hash; every fingerprint is routed through it.
     """
     spark = nodes.sparkSession
-    shards = -(-nodes.count() // SHARD)
-    sample = [x[0] for x in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(MOST_SAMPLES, shards * SAMPLES_PER_SHARD)).collect()] if shards > 1 else []
-    tree = VantageTree(np.array(sample, np.int64).view(np.uint64), radius, SAMPLES_PER_SHARD)
+    count = nodes.count()
+    shards = -(-count // SHARD)
+    rate = min(1.0, min(MOST_SAMPLES, shards * SAMPLES_PER_SHARD) / max(count, 1))
+    picked = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(rate * (1 << 30))
+    sample = nodes.where(picked).select("fp").toArrow()["fp"].to_numpy() if shards > 1 else np.zeros(0, np.int64)
+    tree = VantageTree(np.sort(sample.astype(np.int64)).view(np.uint64), radius, SAMPLES_PER_SHARD)
+    shared = spark.sparkContext.broadcast(tree)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, shard = tree.route(batch.column("fp").to_numpy().view(np.uint64))
+            index, shard = shared.value.route(batch.column("fp").to_numpy().view(np.uint64))
             index = pa.array(index)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("fp").take(index), batch.column("node").take(index)], ["shard", "fp", "node"])
 
@@ -254,13 +258,15 @@ def components_by_key(prints: DataFrame, links: Callable[[DataFrame], DataFrame]
     Rows with the same doc_id count as one document.  A null doc_id is no name
     for a component: such a row keeps a null component_id and links nothing.
     """
-    nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    ids = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("doc_id")
-    same = prints.join(ids, "doc_id").join(nodes, "fp").where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = connected_components(links(nodes).unionAll(same))
-    reach = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    found = prints.join(reach, "fp", "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = prints.where("doc_id IS NOT NULL")
+    nodes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ids = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("doc_id")
+    same = spread_join(prints.join(ids, "doc_id"), nodes, "fp", total).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    roots = connected_components(links(nodes.select("fp", "node")).unionAll(same))
+    reach = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", "n", F.coalesce("v", "node").alias("component_id"))
+    found = spread_join(named, reach, "fp", total).select("doc_id", "fp", "component_id")
+    return found.unionAll(prints.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long")))
 
 
 def near_components(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -288,9 +294,10 @@ def fingerprint_text(fp: Column) -> Column:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document.
 
-    A null or blank text has fingerprint zero and is linked like any other;
-    repeated rows give repeated rows; an empty table gives no rows; further
-    columns are not read.  A component_id is null where doc_id is.
+    A null or blank text has fingerprint zero and is linked like any other; a
+    very long text counts whole; repeated rows give repeated rows; an empty
+    table gives no rows; further columns are not read.  A component_id is null
+    where doc_id is.
     """
     prints = cut(fingerprints(read(spark, sf_dir, "documents")))
     return near_components(prints).select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
