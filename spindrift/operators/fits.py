@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp, quantile
+from ..functions.stats import clamp
 from . import robust
+from .quantiles import quantile_table
 
 PAIR = [f"{a}{b}" for a in "xyz" for b in "xyz"]
 
 
 def procrustes_sums(pairs: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """Weighted means and 3x3 covariance of `(x, y, z)` against `(tx, ty, tz)` by group, and the sources' variance: all in one aggregation.
+    """Weighted means and 3x3 covariance of `(x, y, z)` against `(tx, ty, tz)` by group, and either side's variance.
 
-    Sums are taken about the group's first row, which keeps them small where the
-    points are far from the origin.
+    Means are summed first and joined to the rows, so products are of deviations
+    and keep their places however far from the origin the points are.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     src, dst = ("x", "y", "z"), ("tx", "ty", "tz")
     rows = pairs.select(*keys, w.alias("w"), *src, *dst)
-    sums = [F.sum("w").alias("w")]
-    sums += [F.sum(F.col("w") * F.col(c)).alias(f"s_{c}") for c in (*src, *dst)]
-    sums += [F.sum(F.col("w") * F.col(a) * F.col(f"t{b}")).alias(f"p_{a}{b}") for a in src for b in src]
-    sums += [F.sum(F.col("w") * (F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("sq")]
-    total = rows.groupBy(*keys).agg(*sums)
-    mean = {c: F.try_divide(F.col(f"s_{c}"), F.col("w")) for c in (*src, *dst)}
-    cov = [(F.try_divide(F.col(f"p_{a}{b}"), F.col("w")) - mean[a] * mean[f"t{b}"]).alias(f"c_{a}{b}") for a in src for b in src]
-    var = (F.try_divide(F.col("sq"), F.col("w")) - sum(((mean[c] ** 2) for c in src[1:]), mean["x"] ** 2)).alias("var")
-    return total.select(*keys, "w", *(mean[c].alias(f"m_{c}") for c in (*src, *dst)), *cov, var)
+    mean = lambda c: F.try_divide(F.sum(F.col("w") * c), F.sum("w"))
+    means = rows.groupBy(*(F.col(k).alias(f"key_{k}") for k in keys)).agg(*(mean(F.col(c)).alias(f"m_{c}") for c in (*src, *dst)))
+    if keys:
+        on = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in keys]
+        both = rows.join(means, on).drop(*(f"key_{k}" for k in keys))
+    else:
+        both = rows.crossJoin(F.broadcast(means))
+    held = both.select(*keys, "w", *(f"m_{c}" for c in (*src, *dst)), *((F.col(c) - F.col(f"m_{c}")).alias(c) for c in (*src, *dst)))
+    square = lambda side: sum((F.col(c) * F.col(c) for c in side[1:]), F.col(side[0]) * F.col(side[0]))
+    cov = [mean(F.col(a) * F.col(f"t{b}")).alias(f"c_{a}{b}") for a in src for b in src]
+    return held.groupBy(*keys).agg(F.sum("w").alias("w"), *(F.first(f"m_{c}").alias(f"m_{c}") for c in (*src, *dst)), *cov, mean(square(src)).alias("var"), mean(square(dst)).alias("tvar"))
 
 
 def procrustes(pairs: DataFrame, keys: list[str], weight: Column | None = None, scaled: bool = True) -> DataFrame:
-    """`(keys, rot, transl, scale)` with target = scale * (rot * source + transl), least squares by group.
+    """`(keys, rot, transl, scale)` with target = scale * (rot * source + transl) by group.
 
-    Points are reduced to one row a group by Spark; only the singular value
-    decomposition of its 3x3 matrix runs in numpy.
+    The scale is the ratio of the two sides' spreads, the rotation the best one
+    in least squares.  Points are reduced to one row a group by Spark; only the
+    singular value decomposition of its 3x3 matrix runs in numpy.
     """
     import numpy as np
     import pandas as pd
@@ -47,12 +51,12 @@ def procrustes(pairs: DataFrame, keys: list[str], weight: Column | None = None,
         for pdf in batches:
             c = pdf[cov].to_numpy(float).reshape(-1, 3, 3)
             ok = np.isfinite(c).all((1, 2)) & (pdf["w"].to_numpy(float) > 0)
-            u, s, vt = np.linalg.svd(np.where(ok[:, None, None], np.swapaxes(c, 1, 2), np.eye(3)))
+            u, _, vt = np.linalg.svd(np.where(ok[:, None, None], np.swapaxes(c, 1, 2), np.eye(3)))
             sign = np.ones((len(c), 3))
             sign[:, 2] = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
             rot = (u * sign[:, None, :]) @ vt
-            var = pdf["var"].to_numpy(float)
-            scale = np.where(var > 0, (s * sign).sum(1) / np.where(var > 0, var, 1), 1.0) if scaled else np.ones(len(c))
+            var, tvar = pdf["var"].to_numpy(float), pdf["tvar"].to_numpy(float)
+            scale = np.where(var > 0, np.sqrt(tvar / np.where(var > 0, var, 1)), 1.0) if scaled else np.ones(len(c))
             a, b = pdf[["m_x", "m_y", "m_z"]].to_numpy(float), pdf[["m_tx", "m_ty", "m_tz"]].to_numpy(float)
             shift = b / np.where(scale == 0, 1, scale)[:, None] - np.einsum("nij,nj->ni", rot, a)
             out = pdf[keys].copy()
@@ -114,7 +118,7 @@ def nearest_neighbours(points: DataFrame, id_: str, dims: list[str], k: int, cel
 def neighbour_scale(points: DataFrame, id_: str, dims: list[str], cell: float, k: int = 3, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """`(id, mean_distance, log_scale)`: mean distance of k neighbours, held between two quantiles, as a logarithm."""
     mean = nearest_neighbours(points, id_, dims, k, cell).groupBy(id_).agg(F.avg("distance").alias("mean_distance"))
-    limits = mean.agg(quantile(F.col("mean_distance"), low).alias("low"), quantile(F.col("mean_distance"), high).alias("high"))
+    limits = quantile_table(mean, {"low": (F.col("mean_distance"), low), "high": (F.col("mean_distance"), high)})
     held = mean.crossJoin(F.broadcast(limits))
     return held.select(id_, "mean_distance", F.ln(F.greatest(F.least(F.greatest("mean_distance", "low"), F.col("high")), F.lit(1e-12))).alias("log_scale"))
 

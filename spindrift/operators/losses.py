@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import huber, quantile, weighted_mean
+from ..functions.stats import huber, weighted_mean
+from .quantiles import quantile_table
 
 
 def with_threshold(df: DataFrame, loss: str, q: float) -> DataFrame:
     """Adds the loss's quantile as a column; one number, computed once and sent to every task."""
-    return df.crossJoin(F.broadcast(df.agg(quantile(F.col(loss), q).alias("threshold"))))
+    return df.crossJoin(F.broadcast(quantile_table(df, {"threshold": (F.col(loss), q)})))
 
 
 def masked_loss(df: DataFrame, loss: Column, mask: Column | None, q: float = 1.0, normalise: bool = True) -> DataFrame:
@@ -63,8 +64,8 @@ def coefficient_sparsity(df: DataFrame, coefs: str) -> DataFrame:
 
 def depth_range_hinge(df: DataFrame, frame: str, depth: str, reference: str, top: float = 0.98) -> DataFrame:
     """Depths outside a frame's reference range, its minimum to its upper quantile; each side's mean over the rows that exceed it."""
-    limits = df.groupBy(frame).agg(F.min(reference).alias("low"), quantile(F.col(reference), top).alias("high"))
-    rows = df.join(limits, frame)
+    limits = quantile_table(df, {"low": (F.col(reference), 0.0), "high": (F.col(reference), top)}, [frame])
+    rows = df.join(F.broadcast(limits), frame)
     d = F.col(depth)
     below, above = F.avg(F.when(d < F.col("low"), F.col("low") - d)), F.avg(F.when(d > F.col("high"), d - F.col("high")))
     return rows.agg((F.coalesce(below, F.lit(0.0)) + F.coalesce(above, F.lit(0.0))).alias("loss"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import ranked_values
+
 
 def similarity(key: Column, query: Column, shrinkage: Column | None = None, selection: Column | None = None) -> Column:
     """-(sum over channels of selection * (key - query)^2), times shrinkage, over the root of their number.
@@ -21,6 +23,41 @@ def similarity(key: Column, query: Column, shrinkage: Column | None = None, sele
     return total * (F.lit(1.0) if shrinkage is None else shrinkage) / size
 
 
+def best_elements(memory: DataFrame, queries: DataFrame, element: str, key: str, query: str, query_key: str, k: int, block: int = 2048) -> DataFrame:
+    """`(query, element, score)` of the k elements most similar to each query, other than the one of its own name.
+
+    Elements and queries are packed into blocks, and each block of one meets each
+    block of the other as one row, whose scores are one matrix product; it hands
+    on its k best of each query, so nothing grows with the pairs but arithmetic.
+    Elements of very many blocks are dealt over tasks by block.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def packed(df: DataFrame, id_: str, vector: str, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        rows = df.select(F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias(name), F.struct(F.col(id_).alias("id"), F.col(vector).alias("v")).alias("x"))
+        held = rows.groupBy(name).agg(F.collect_list("x").alias("x"))
+        return held.select(name, F.col("x.id").alias(f"{name}_id"), F.flatten("x.v").alias(f"{name}_v")), n
+
+    (elements, _), (asked, n) = packed(memory, element, key, "element"), packed(queries, query, query_key, "asked")
+    pairs = elements.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, "asked")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                q, e = np.reshape(r.asked_v, (len(r.asked_id), -1)), np.reshape(r.element_v, (len(r.element_id), -1))
+                score = np.round((2 * q @ e.T - (e * e).sum(1)) / np.sqrt(e.shape[1]), 10)
+                score[np.asarray(r.asked_id)[:, None] == np.asarray(r.element_id)[None, :]] = -np.inf
+                best = np.array([np.lexsort((r.element_id, -s))[:k] for s in score])
+                found = np.take_along_axis(score, best, 1)
+                kept = np.isfinite(found)
+                yield pd.DataFrame({query: np.repeat(r.asked_id, kept.sum(1)), element: np.asarray(r.element_id)[best[kept]], "score": found[kept]})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return pairs.select("asked_id", "asked_v", "element_id", "element_v").mapInPandas(run, f"`{query}` {kind(queries, query)}, `{element}` {kind(memory, element)}, score double")
+
+
 def top_k_weights(scores: DataFrame, query: list[str], element: str, score: str, k: int) -> DataFrame:
     """The k best elements of each query with softmax `weight`."""
     w = W.partitionBy(*query)
@@ -42,12 +79,13 @@ def usage(weights: DataFrame, element: str) -> DataFrame:
 
 
 def evict_least_used(memory: DataFrame, group: str, use: str, life: str, most: int) -> DataFrame:
-    """Elements of each group used more, for their life, than the last of the surplus; ties with it go too."""
-    w = W.partitionBy(group)
+    """Elements of each group used more, for their life, than the last of the surplus; ties with it go too.
+
+    Groups are few and large: the last one's ratio comes from histograms, so no group is ranked.
+    """
     rated = memory.withColumn("ratio", F.col(use) / F.col(life))
-    ranked = rated.withColumns({"place": F.row_number().over(w.orderBy("ratio")), "surplus": F.count(F.lit(1)).over(w) - most})
-    limit = F.max(F.when(F.col("place") <= F.col("surplus"), F.col("ratio"))).over(w)
-    return ranked.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("ratio") > F.col("limit"))).drop("ratio", "place", "surplus", "limit")
+    limits = ranked_values(rated, F.col("ratio"), [group], lambda n: n - most - 1).select(group, F.col("value").alias("limit"))
+    return rated.join(F.broadcast(limits), group).where(F.col("limit").isNull() | (F.col("ratio") > F.col("limit"))).drop("ratio", "limit")
 
 
 def sieve(memory: DataFrame, group: str, position: str, start: int, end: int) -> DataFrame:

@@ -49,6 +49,44 @@ def thin(df: DataFrame, frame: str, id_: str, by: int = 8, least: int = 64, seed
     return ranked.where(F.col("pick") <= F.greatest(F.floor(F.col("n") / by), F.lit(least))).drop("n")
 
 
+def thin_and_cap(df: DataFrame, frame: str, id_: str, total: int, by: int = 8, least: int = 64, seed: int = 0) -> DataFrame:
+    """The thinned frames, and of them no more than `total` rows, by hashed order."""
+    return thin(df, frame, id_, by, least, seed).drop("pick").orderBy(hashed_order(F.col(id_), seed + 1), id_).limit(total)
+
+
+def shuffled(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
+    """n rows in an order that looks random and is the same each time."""
+    return df.orderBy(hashed_order(F.col(id_), seed), id_).limit(n)
+
+
+def random_frames(items: DataFrame, id_: str, frames: int, n: int, seed: int = 0) -> DataFrame:
+    """`(.., target)`: n different frames of `frames` for each item, by hashed order of item and frame; no rows are exchanged."""
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda t: F.struct(hashed_order(F.col(id_) * frames + t, seed).alias("key"), t.alias("t")))
+    return items.withColumn("target", F.explode(F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["t"])))
+
+
+def on_grid(points: DataFrame, frames: DataFrame, mask: str, step: int = 1) -> DataFrame:
+    """Points `(frame, y, x)` on masked pixels of the grid: a semi-join, so a pixel's copies never multiply a point."""
+    return points.join(query_grid(frames, mask, step).select("frame", "y", "x"), ["frame", "y", "x"], "left_semi")
+
+
+def original_labels(df: DataFrame, dense: DataFrame, label: str, dense_id: str = "dense_id") -> DataFrame:
+    """Rows with their dense number turned back into the label."""
+    return df.join(dense.select(dense_id, label), dense_id).drop(dense_id)
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired_by_stem(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
+    """`(stem, left, right)` of files whose names are alike but for folder and ending; a left one without a partner fails."""
+    from ..sources.files import stem
+
+    named = lambda df, side: df.select(stem(F.col(path)).alias("stem"), F.col(path).alias(side))
+    return require_matches(named(left, "left"), named(right, "right"), ["stem"])
+
+
 def cap_by_hash(df: DataFrame, key: str, id_: str, most: int, seed: int = 0) -> DataFrame:
     """Up to `most` rows of each key, by hashed order."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(hashed_order(F.col(id_), seed), id_))
@@ -85,6 +123,12 @@ def cull(df: DataFrame, drop: Column) -> DataFrame:
     return df.where(~F.coalesce(drop, F.lit(False)))
 
 
+def cull_with(df: DataFrame, drop: Column, others: list[DataFrame], id_: str) -> list[DataFrame]:
+    """The rows that stay, and of other tables about the same rows, such as running statistics, those of rows that stay."""
+    kept = cull(df, drop)
+    return [kept, *(o.join(kept.select(id_).distinct(), id_, "left_semi") for o in others)]
+
+
 def control_predicates(df: DataFrame, grad: Column, scale: Column, radius: Column, opacity: Column, *, grad_limit: float, scale_limit: float, screen_limit: float, least_opacity: float, cull_scale: Column, by_screen: bool, by_scale: bool) -> DataFrame:
     """Adds `should_split`, `should_dup` and `should_cull` from running statistics."""
     high, big = grad > grad_limit, scale > scale_limit

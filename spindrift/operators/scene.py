@@ -139,6 +139,44 @@ def relative_transforms(poses: DataFrame, seq: str, frame: str, w2c: str = "w2c"
     return held.where(F.col("_next").isNotNull()).withColumn("relative", g.pack(g.matmul(b, g.invert_rigid(a), 4))).drop("_next")
 
 
+def visible_centres(points: DataFrame, frames: DataFrame, least_opacity: float) -> DataFrame:
+    """Points whose numbers are finite, in front of the camera, inside the frame, on its mask and opaque enough.
+
+    `points` has `(frame, px, py, depth, opacity)`, `frames` `(frame, h, w, mask)`.
+    """
+    joined = points.join(frames.select("frame", "h", "w", "mask"), "frame")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    inside = F.col("px").between(F.lit(0), F.col("w") - 1) & F.col("py").between(F.lit(0), F.col("h") - 1)
+    masked = pixel(F.col("mask"), F.bround("px"), F.bround("py"), F.col("h"), F.col("w")) > 0
+    kept = joined.where(finite("px") & finite("py") & finite("depth")).where((F.col("depth") > 1e-6) & inside).where(masked & (F.col("opacity") >= least_opacity))
+    return kept.drop("h", "w", "mask")
+
+
+def rendered_tracks(pixels: DataFrame, alpha: str, mask: str, track: str, least_alpha: float) -> DataFrame:
+    """Pixels that are opaque enough, masked, and whose track `(array)` isn't all zeros."""
+    return pixels.where((F.col(alpha) > least_alpha) & (F.col(mask) > 0) & F.exists(track, lambda v: v != 0))
+
+
+def initial_gaussians(points: DataFrame, id_: str, dims: list[str], colours: list[str], cell: float, opacity: float = 0.7, seed: int = 0) -> DataFrame:
+    """`(id, mean, log_scale, quat, colour_logit, opacity_logit)` from coloured points: scales by their neighbours' distance."""
+    from ..functions.stats import logit
+    from .fits import neighbour_scale
+    from .paths import random_unit_quaternions
+
+    scales = neighbour_scale(points, id_, dims, cell)
+    held = random_unit_quaternions(points, id_, seed).join(scales, id_)
+    inner = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return held.select(
+        id_, F.array(*dims).alias("mean"), F.array_repeat("log_scale", 3).alias("log_scale"), F.col("wxyz").alias("quat"),
+        F.array(*(logit(inner(c)) for c in colours)).alias("colour_logit"), logit(F.lit(opacity)).alias("opacity_logit"),
+    )
+
+
+def replay(time: Column, length: int) -> Column:
+    """The frame shown after `time`, beginning anew after the last one."""
+    return F.pmod(time + 1, F.lit(length))
+
+
 def lift_tracks(track2d: DataFrame, frames: DataFrame, cameras: DataFrame, length: int) -> DataFrame:
     """2-D tracks to 3-D: `(query_t, point_id, target_t, x, y, z, visible, invisible, confidence)` of the tracks that are valid.
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.stats import quantile, sigmoid
+from ..functions.stats import sigmoid
+from .quantiles import quantile_table
 
 
 def order(track: str = "track_id", t: str = "t") -> W:
@@ -21,10 +22,28 @@ def decode_visibility(df: DataFrame, occlusion: Column, distance: Column) -> Dat
     return out.withColumn("confidence", F.when(F.col("visible") | F.col("invisible"), F.col("sure")).otherwise(0.0)).drop("sure")
 
 
+def decode_occlusion(df: DataFrame, occlusion: Column, distance: Column) -> DataFrame:
+    """Adds `visible` alone: the earlier rule, which tells nothing of points known to be hidden."""
+    return df.withColumn("visible", (1 - sigmoid(occlusion)) * (1 - sigmoid(distance)) > 0.5)
+
+
+def motion_scores(df: DataFrame, query: int, dims: list[str], track: str = "track_id", t: str = "t") -> DataFrame:
+    """`(track, score)`: a track's greatest distance from where it is at `query`."""
+    base = df.where(F.col(t) == query).select(track, *(F.col(d).alias(f"q_{d}") for d in dims))
+    return df.join(base, track).groupBy(track).agg(F.max(g.norm([F.col(d) - F.col(f"q_{d}") for d in dims])).alias("score"))
+
+
+def pin_query_points(df: DataFrame, queries: DataFrame, dims: list[str], track: str = "track_id", t: str = "t") -> DataFrame:
+    """Tracks that pass through their query points `(track, t, dims)` exactly."""
+    known = queries.select(track, t, *(F.col(d).alias(f"q_{d}") for d in dims))
+    held = df.join(known, [track, t], "left")
+    return held.withColumns({d: F.coalesce(f"q_{d}", d) for d in dims}).drop(*(f"q_{d}" for d in dims))
+
+
 def valid_tracks(df: DataFrame, length: int, track: str = "track_id", visible: str = "visible", share: float = 0.05, q: float = 0.1) -> DataFrame:
     """`(track, visible_count)` of tracks seen at least min(int(share * length), q-quantile of the counts) times."""
     counts = df.groupBy(track).agg(F.count_if(visible).alias("visible_count"))
-    limit = counts.agg(F.least(F.lit(float(int(share * length))), quantile(F.col("visible_count"), q)).alias("limit"))
+    limit = quantile_table(counts, {"q": (F.col("visible_count"), q)}).select(F.least(F.lit(float(int(share * length))), F.col("q")).alias("limit"))
     return counts.crossJoin(F.broadcast(limit)).where(F.col("visible_count") >= F.col("limit")).drop("limit")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import losses, metrics
-from .bind import track_order, TRACKS_SQL, query, rounded, table, track_table
+from .bind import ORACLE_SQL, QUERIES, TRACKS_SQL, query, rounded, table, track_order, track_table
 
 _LAGGED = f"""WITH {TRACKS_SQL}, p AS (
   SELECT *, lag(x) OVER w AS px, lag(visible) OVER w AS pvis FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY t)
@@ -63,7 +63,7 @@ _POSES = """p AS (SELECT track_id, t, x / 10 AS x, y / 10 AS y, (event_id % 360)
   SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(a) OVER w - a AS da, lead(gx) OVER w - gx AS ex, lead(gy) OVER w - gy AS ey, lead(ga) OVER w - ga AS ea
   FROM p WINDOW w AS (PARTITION BY track_id ORDER BY t)
 ), r AS (SELECT *, cos(a) * dx + sin(a) * dy AS px, cos(a) * dy - sin(a) * dx AS py, cos(ga) * ex + sin(ga) * ey AS qx, cos(ga) * ey - sin(ga) * ex AS qy FROM s)
-SELECT track_id, round(sqrt(avg((x - gx)^2 + (y - gy)^2)), 5) AS ate, round(avg(sqrt((px - qx)^2 + (py - qy)^2)), 5) AS rpe_t,
+SELECT track_id, round(avg(sqrt((x - gx)^2 + (y - gy)^2)), 5) AS ate, round(avg(sqrt((px - qx)^2 + (py - qy)^2)), 5) AS rpe_t,
   round(avg(degrees(acos(least(greatest(cos(da - ea), -1.0), 1.0)))), 4) AS rpe_r FROM r GROUP BY track_id""")
 def pose_errors(spark, sf_dir):
     t = track_table(spark, sf_dir)
@@ -88,12 +88,12 @@ def bootstrapped_loss(spark, sf_dir):
     return rounded(metrics.bootstrapped_loss(rows, ["l_returnflag"], "loss", 0.15))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS pixel, l_linenumber AS obj, max(l_discount * 4 + 0.05) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+@query("""WITH p AS (SELECT l_orderkey AS pixel, l_linenumber AS obj, max(l_discount * 4 + 0.05) AS p FROM lineitem GROUP BY ALL),
 b AS (SELECT *, exp(sum(ln(greatest(1 - p, 1e-300))) OVER (PARTITION BY pixel)) AS bg, least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7)) AS o FROM p),
 t AS (SELECT *, least(greatest(bg, 1e-7), 1 - 1e-7) / (1 - least(greatest(bg, 1e-7), 1 - 1e-7)) AS ob, sum(o) OVER (PARTITION BY pixel) AS s FROM b)
 SELECT pixel, obj, round(o / (s + ob), 5) AS prob FROM t UNION ALL SELECT pixel, 0, round(any_value(ob) / (any_value(s) + any_value(ob)), 5) FROM t GROUP BY pixel""")
 def soft_aggregate(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").alias("obj")).agg(F.max(F.col("l_discount") * 4 + 0.05).alias("p"))
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").alias("obj")).agg(F.max(F.col("l_discount") * 4 + 0.05).alias("p"))
     return rounded(metrics.soft_aggregate(p, ["pixel"], "obj", "p"))
 
 
@@ -165,3 +165,110 @@ SELECT round(coalesce(avg(lo - d) FILTER (d < lo), 0) + coalesce(avg(d - hi) FIL
 def depth_range_hinge(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), (F.col("l_discount") * 12 - 0.2).alias("d"), (F.col("l_tax") * 10).alias("r"))
     return rounded(losses.depth_range_hinge(r, "f", "d", "r"))
+
+
+@query(f"WITH {_FIT}, l AS (SELECT (pred - gt) * (pred - gt) / 1e6 AS l FROM f), t AS (SELECT quantile_cont(l, 0.9) AS th FROM l) SELECT round(avg(l), 3) AS loss FROM l, t WHERE l < th")
+def trimmed_mse_mean(spark, sf_dir):
+    scaled = _fit(spark, sf_dir).select((F.col("pred") / 1000).alias("pred"), (F.col("gt") / 1000).alias("gt"))
+    return rounded(losses.masked_mse(scaled, "pred", "gt", None, 0.9), 3)
+
+
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 200 THEN 1.0 WHEN event_id > 700 THEN 0.15 ELSE 0.15 + 0.85 * (700 - event_id) / 500.0 END, 6) AS share FROM events")
+def annealed_share(spark, sf_dir):
+    """The share of hardest losses as it falls from step to step."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.round(metrics.annealed_share(F.col("event_id"), 200, 700, 0.15), 6).alias("share"))
+
+
+def _about_y(a, x, y, z):
+    c, s = F.cos(a), F.sin(a)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(c, zero, s, x, zero, one, zero, y, -s, zero, c, z, zero, zero, zero, one)
+
+
+@query(f"""WITH {TRACKS_SQL}, p AS (SELECT track_id, t, x / 10 AS x, y / 10 AS y, z, event_id * 0.01 AS a, x / 10 + 0.01 * (event_id % 3) AS gx, y / 10 - 0.02 AS gy, z + 0.03 * (event_id % 4) AS gz, event_id * 0.01 + 0.001 * (event_id % 7) AS ga FROM tracks),
+s AS (SELECT *, {', '.join(f'lead({c}) OVER w - {c} AS d{c}' for c in ('x', 'y', 'z', 'a', 'gx', 'gy', 'gz', 'ga'))} FROM p WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+r AS (SELECT *, cos(a) * dx - sin(a) * dz AS px, sin(a) * dx + cos(a) * dz AS pz, cos(ga) * dgx - sin(ga) * dgz AS qx, sin(ga) * dgx + cos(ga) * dgz AS qz FROM s)
+SELECT track_id, round(avg(sqrt((x-gx)^2 + (y-gy)^2 + (z-gz)^2)), 5) AS ate, round(avg(sqrt((px-qx)^2 + (dy-dgy)^2 + (pz-qz)^2)), 5) AS rpe_t, round(avg(degrees(acos(least(greatest(cos(da - dga), -1.0), 1.0)))), 3) AS rpe_r FROM r GROUP BY track_id""")
+def rigid_pose_errors(spark, sf_dir):
+    """Whole camera poses, turned about y."""
+    t, i = track_table(spark, sf_dir), F.col("event_id")
+    p = t.select("track_id", "t", _about_y(i * 0.01, F.col("x") / 10, F.col("y") / 10, F.col("z")).alias("pred"), _about_y(i * 0.01 + 0.001 * (i % 7), F.col("x") / 10 + 0.01 * (i % 3), F.col("y") / 10 - 0.02, F.col("z") + 0.03 * (i % 4)).alias("target"))
+    out = metrics.rigid_pose_errors(p, "track_id", "t")
+    return out.select("track_id", F.round("ate", 5).alias("ate"), F.round("rpe_t", 5).alias("rpe_t"), F.round("rpe_r", 3).alias("rpe_r"))
+
+
+@query(f"""WITH {TRACKS_SQL}, p AS (SELECT track_id % 10 AS pair, sqrt((0.01 * (event_id % 9))^2 + (0.02 * (event_id % 4))^2) AS d FROM tracks WHERE visible), g AS (SELECT pair, avg(d) AS epe, avg((d < 0.1 + 1e-9)::INT) AS a, avg((d < 0.05 + 1e-9)::INT) AS b FROM p GROUP BY pair)
+SELECT round(avg(epe), 5) AS epe, round(avg(a), 5) AS pck_0, round(avg(b), 5) AS pck_1, count(*) AS pairs FROM g""")
+def aligned_endpoint_error(spark, sf_dir):
+    """Predictions in a frame that is turned, moved and 2.5 times as large: the cameras tell how."""
+    from ..functions import geometry as g
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    centre = [F.col("n") * 1.0, F.col("n") % 5 * 2.0, F.col("n") % 3 * 1.5]
+    away = lambda x, y, z: [(0.6 * x - 0.8 * z) / 2.5 - 1.0, y / 2.5 + 2.0, (0.8 * x + 0.6 * z) / 2.5 - 0.5]
+    one = [F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)]
+    w2c = lambda c: g.pack(g.rigid(one, [-v for v in c]))
+    cameras = n.select(w2c(centre).alias("w2c"), w2c(away(*centre)).alias("pred_w2c"))
+    t, i = track_table(spark, sf_dir), F.col("event_id")
+    moved = away(F.col("x") + 0.01 * (i % 9), F.col("y"), F.col("z") + 0.02 * (i % 4))
+    p = t.select((F.col("track_id") % 10).alias("pair"), "visible", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), *(c.alias(a) for a, c in zip("xyz", moved, strict=True)))
+    return rounded(metrics.aligned_endpoint_error(p, cameras, ["pair"], F.col("visible"), (0.1 + 1e-9, 0.05 + 1e-9)))
+
+
+_WINDOW = "SELECT exp(-0.5 / 2.25) / (1 + 2 * exp(-0.5 / 2.25)) AS a, 1 / (1 + 2 * exp(-0.5 / 2.25)) AS b"
+_FIVE = {"p": "p", "t": "t", "pp": "p * p", "tt": "t * t", "pt": "p * t"}
+
+
+def _ssim_sql() -> str:
+    """Windows of three: sums along x over the mask's share of them, then along y over the share of windows with any mask."""
+    pixels = "px AS (SELECT vec_id AS frame, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE + 0.5 AS p, embedding[i + 1]::DOUBLE * 0.9 + 0.5 + i % 3 * 0.01 AS t, (i % 9 <> 0)::INT AS m FROM embeddings, range(64) r(i))"
+    across = ", ".join(f"(a * ({v}) * m + b * lead(({v}) * m) OVER w + a * lead(({v}) * m, 2) OVER w) AS {n}" for n, v in _FIVE.items())
+    held = ", ".join(f"CASE WHEN seen > 0 THEN {n} * 3 / seen ELSE 0 END AS {n}" for n in _FIVE)
+    down = ", ".join(f"(a * {n} + b * lead({n}) OVER w + a * lead({n}, 2) OVER w) AS {n}" for n in _FIVE)
+    kept = ", ".join(f"CASE WHEN seen > 0 THEN {n} * 3 / seen ELSE 0 END AS {n}" for n in _FIVE)
+    return f"""WITH k AS ({_WINDOW}), {pixels},
+h0 AS (SELECT frame, y, x, {across}, m + lead(m) OVER w + lead(m, 2) OVER w AS seen FROM px, k WINDOW w AS (PARTITION BY frame, y ORDER BY x)),
+h AS (SELECT frame, y, x, {held}, (seen > 0)::INT AS m FROM h0 WHERE x <= 5),
+v0 AS (SELECT frame, y, x, {down}, m + lead(m) OVER w + lead(m, 2) OVER w AS seen FROM h, k WINDOW w AS (PARTITION BY frame, x ORDER BY y)),
+v AS (SELECT frame, {kept} FROM v0 WHERE y <= 5),
+s AS (SELECT frame, p, t, greatest(pp - p * p, 0) AS vp, greatest(tt - t * t, 0) AS vt, pt - p * t AS c FROM v),
+r AS (SELECT *, least(greatest(c, -sqrt(vp * vt)), sqrt(vp * vt)) AS cov FROM s),
+ssim AS (SELECT frame, avg((2 * p * t + 1e-4) * (2 * cov + 9e-4) / ((p * p + t * t + 1e-4) * (vp + vt + 9e-4))) AS ssim FROM r GROUP BY frame)"""
+
+
+ORACLE_SQL["masked_ssim"] = _ssim_sql() + " SELECT frame, round(ssim, 5) AS ssim FROM ssim"
+
+_PSNR = "psnr AS (SELECT frame, -10 * log10(sum((p - t) * (p - t) * m) / greatest(sum(m), 1)) AS psnr FROM px GROUP BY frame)"
+
+
+def _views(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    image = F.transform("embedding", lambda v: v.cast("double") + 0.5)
+    other = F.transform("embedding", lambda v, i: v.cast("double") * 0.9 + 0.5 + (i % 3) * 0.01)
+    mask = F.transform("embedding", lambda v, i: (i % 9 != 0).cast("double"))
+    return e.select(F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), image.alias("pred"), other.alias("target"), mask.alias("mask"))
+
+
+@query(_ssim_sql() + f", {_PSNR} SELECT count(*) AS frames, round(avg(psnr), 4) AS psnr, round(avg(ssim), 5) AS ssim FROM psnr JOIN ssim USING (frame)")
+def novel_view_report(spark, sf_dir):
+    """Image metrics over what two views share, as means of the frames."""
+    out = metrics.image_report(_views(spark, sf_dir), 3)
+    return out.select("frames", F.round("psnr", 4).alias("psnr"), F.round("ssim", 5).alias("ssim"))
+
+
+@query(_ssim_sql() + f""", {_PSNR}, {TRACKS_SQL}, k AS (SELECT (0.5 * (event_id % 30) + 0.1)^2 AS d FROM tracks WHERE visible)
+SELECT 'psnr' AS metric, round((SELECT avg(psnr) FROM psnr), 4) AS value UNION ALL SELECT 'ssim', round((SELECT avg(ssim) FROM ssim), 4) UNION ALL SELECT 'pck_0', round((SELECT avg((d < 25)::INT) FROM k), 4) UNION ALL SELECT 'pck_1', round((SELECT avg((d < 100)::INT) FROM k), 4)""".replace(", k AS (SELECT (0.5", ", kp AS (SELECT (0.5").replace("FROM k)", "FROM kp)"))
+def validation_report(spark, sf_dir):
+    t = track_table(spark, sf_dir).select(F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + 0.5 * (F.col("event_id") % 30) + 0.1).alias("tx"), F.col("y").alias("ty"), "visible")
+    return rounded(metrics.validation_report(_views(spark, sf_dir), t, 3), 4)
+
+
+@query("SELECT event_type, round(avg(value), 5) AS value FROM events GROUP BY event_type")
+def merged_means(spark, sf_dir):
+    """Batches of events add to running means, merged afterwards."""
+    e = table(spark, sf_dir, "events")
+    parts = [metrics.partial_means(e.where(F.col("event_id") % 3 == i), ["event_type"], ["value"]) for i in range(3)]
+    return rounded(metrics.merged_means(parts[0].unionAll(parts[1]).unionAll(parts[2]), ["event_type"], ["value"]))
+
+
+_TERMS = {"track": (2.0, "masked_trimmed_l1"), "mask": (1.0, "masked_mse"), "depth": (0.5, "masked_huber"), "depth_grad": (1.0, "raster_gradient_loss"), "accel": (0.1, "accel_loss"), "scale_var": (0.01, "scale_variance"), "sparsity": (0.01, "coefficient_sparsity"), "range": (0.05, "depth_range_hinge")}

@@ -36,14 +36,14 @@ def colour_lookup(spark, sf_dir):
     return out.select("event_id", F.get("colour", F.lit(0)).alias("red"))
 
 
-@query(f"WITH {TRACKS_SQL} SELECT track_id, t, 9::BIGINT AS time FROM tracks WHERE t < 20")
+@query(f"WITH {TRACKS_SQL} SELECT track_id, t, 9::BIGINT AS time FROM tracks")
 def fixed_times(spark, sf_dir):
-    return scene.fixed_time(track_table(spark, sf_dir).where("t < 20"), 11, 10).select("track_id", "t", F.col("time").cast("long").alias("time"))
+    return scene.fixed_time(track_table(spark, sf_dir), 11, 10).select("track_id", "t", F.col("time").cast("long").alias("time"))
 
 
 @query()
 def camera_path_frames(spark, sf_dir):
-    t = track_table(spark, sf_dir).where("t < 6")
+    t = track_table(spark, sf_dir)
     k = t.select(F.col("track_id").alias("path"), F.col("t").alias("idx"), (F.col("x") / 100 + 0.1).alias("seconds"), F.array("x", "y", "z").alias("position"), F.array(F.lit(1.0), F.col("x") / 500, F.lit(0.1), F.col("t") * 0.1).alias("wxyz"), (0.5 + F.col("t") * 0.05).alias("fov"))
     out = paths.interpolate_path(k, 10.0)
     return rounded(out.select("path", "frame", F.get("position", F.lit(0)).alias("x"), F.get("wxyz", F.lit(0)).alias("w"), "fov"), 4)

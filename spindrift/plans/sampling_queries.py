@@ -134,10 +134,10 @@ def strided_subsample(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.pmod("event_id", F.lit(7)) == 0).select("event_id", "user_id")
 
 
-@query(f"""WITH {TRACKS_SQL}, d AS (SELECT t AS f, track_id, bool_or(visible) AS v FROM tracks WHERE t < 12 GROUP BY ALL)
+@query(f"""WITH {TRACKS_SQL}, d AS (SELECT t AS f, track_id, bool_or(visible) AS v FROM tracks GROUP BY ALL)
 SELECT a.f AS src, b.f AS dst, count(*) AS covisible FROM d a JOIN d b ON a.track_id = b.track_id WHERE a.v AND b.v GROUP BY ALL""")
 def pair_covisible(spark, sf_dir):
-    d = track_table(spark, sf_dir).where("t < 12").groupBy(F.col("t").alias("f"), "track_id").agg(F.bool_or("visible").alias("v")).where("v")
+    d = track_table(spark, sf_dir).groupBy(F.col("t").alias("f"), "track_id").agg(F.bool_or("visible").alias("v")).where("v")
     a, b = d.select(F.col("f").alias("src"), "track_id"), d.select(F.col("f").alias("dst"), "track_id")
     out = a.join(b, "track_id").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("covisible"))
     return out.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "covisible")
@@ -146,29 +146,29 @@ def pair_covisible(spark, sf_dir):
 # --- memory ------------------------------------------------------------------------
 
 
-def _scores(spark, sf_dir):
+def _weights(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("key"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("key").alias("query_key"))
-    pairs = e.where("vec_id % 50 <> 0").withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one")
-    return pairs.select("query", "vec_id", F.slice("key", 1, 4).alias("value"), F.round(memory.similarity(F.col("key"), F.col("query_key")), 10).alias("score"))
+    best = memory.best_elements(e, q, "vec_id", "key", "query", "query_key", 30)
+    return memory.top_k_weights(best, ["query"], "vec_id", "score", 30)
 
 
 _SCORES = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS k FROM embeddings),
-s AS (SELECT q.vec_id AS query, m.vec_id, m.k[1:4] AS v, round((2 * list_inner_product(m.k, q.k) - list_inner_product(m.k, m.k)) / 8, 10) AS score FROM e m JOIN e q ON q.vec_id % 50 = 0 WHERE m.vec_id % 50 <> 0),
+s AS (SELECT q.vec_id AS query, m.vec_id, m.k[1:4] AS v, round((2 * list_inner_product(m.k, q.k) - list_inner_product(m.k, m.k)) / 8, 10) AS score FROM e m JOIN e q ON q.vec_id % 50 = 0 AND m.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS k, max(score) OVER (PARTITION BY query) AS top FROM s),
 w AS (SELECT *, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY query) AS weight FROM r WHERE k <= 30)"""
 
 
 @query(f"WITH {_SCORES} SELECT query, {', '.join(f'round(sum(weight * v[{i + 1}]), 5) AS r{i}' for i in range(4))} FROM w GROUP BY query")
 def topk_softmax_readout(spark, sf_dir):
-    w = memory.top_k_weights(_scores(spark, sf_dir), ["query"], "vec_id", "score", 30)
-    r = memory.read_out(w, ["query"], "value")
+    values = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("value"))
+    r = memory.read_out(_weights(spark, sf_dir).join(values, "vec_id"), ["query"], "value")
     return rounded(r.select("query", *(F.get("read", F.lit(i)).alias(f"r{i}") for i in range(4))))
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, round(sum(weight), 5) AS use FROM w GROUP BY vec_id")
 def memory_usage(spark, sf_dir):
-    return rounded(memory.usage(memory.top_k_weights(_scores(spark, sf_dir), ["query"], "vec_id", "score", 30), "vec_id"))
+    return rounded(memory.usage(_weights(spark, sf_dir), "vec_id"))
 
 
 _MEM = "m AS (SELECT event_type AS grp, user_id AS elem, count(*) AS use, 1 + max(event_id) - min(event_id) AS life FROM events GROUP BY ALL)"
@@ -213,10 +213,10 @@ def _pairs(spark, sf_dir):
     return e.toDF("label", "x", "y", "z", "tx", "ty", "tz")
 
 
-@query(f"""WITH e AS (SELECT label, {embedding_sql(6)} FROM embeddings) SELECT label, count(*)::DOUBLE AS w, round(covar_pop(e0, e3), 5) AS c_xx, round(covar_pop(e0, e4), 5) AS c_xy, round(covar_pop(e1, e3), 5) AS c_yx, round(covar_pop(e2, e5), 5) AS c_zz,
-  round(var_pop(e0) + var_pop(e1) + var_pop(e2), 5) AS var FROM e GROUP BY label""")
+@query(f"""WITH e AS (SELECT label, {embedding_sql(6)} FROM embeddings) SELECT label, count(*)::DOUBLE AS w, {', '.join(f'round(covar_pop(e{i}, e{j + 3}), 5) AS c_{a}{b}' for i, a in enumerate('xyz') for j, b in enumerate('xyz'))},
+  round(var_pop(e0) + var_pop(e1) + var_pop(e2), 5) AS var, round(var_pop(e3) + var_pop(e4) + var_pop(e5), 5) AS tvar FROM e GROUP BY label""")
 def procrustes_covariance(spark, sf_dir):
-    return rounded(fits.procrustes_sums(_pairs(spark, sf_dir), ["label"]).select("label", "w", "c_xx", "c_xy", "c_yx", "c_zz", "var"))
+    return rounded(fits.procrustes_sums(_pairs(spark, sf_dir), ["label"]).select("label", "w", *(f"c_{p}" for p in fits.PAIR), "var", "tvar"))
 
 
 @query("SELECT DISTINCT label, 0.6::DOUBLE AS r00, 0.8::DOUBLE AS r02, 2.5::DOUBLE AS scale, 1::DOUBLE AS t0, -2::DOUBLE AS t1, 0.5::DOUBLE AS t2, 0::DOUBLE AS residual FROM embeddings")
@@ -248,9 +248,9 @@ def kmeans_directions(spark, sf_dir):
 
 @query()
 def motion_bases_fit(spark, sf_dir):
-    t = track_table(spark, sf_dir).where("t < 12").withColumn("confidence", F.col("visible").cast("double"))
+    t = track_table(spark, sf_dir).withColumn("confidence", F.col("visible").cast("double"))
     labels = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), (F.col("user_id") % 3).alias("label")).distinct()
-    out = fits.motion_bases(t, labels, 4, 12)
+    out = fits.motion_bases(t, labels, 4, 100)
     return rounded(out.select("label", "t", *(F.get("rot", F.lit(i)).alias(f"r{i}") for i in range(9)), *(F.get("transl", F.lit(i)).alias(f"t{i}") for i in range(3))), 4)
 
 
@@ -269,3 +269,72 @@ def motion_logits(spark, sf_dir):
 def principal_colours(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("f"))
     return fits.principal_colours(e, "vec_id", "f").select("vec_id", *(F.round(F.get("colour", F.lit(i)), 5).alias(f"c{i}") for i in range(3)))
+
+
+# --- random choice, labels, pairs ----------------------------------------------------
+
+
+@query(f"""WITH {_DISTINCT}, r AS (SELECT id, month, row_number() OVER (PARTITION BY month ORDER BY (id % 2147483647) * 742938285 % 2147483647, id) AS k, count(*) OVER (PARTITION BY month) AS n FROM u)
+SELECT id, month FROM r WHERE k <= greatest(n // 8, 64) ORDER BY ((id % 2147483647) * 742938285 + 1) % 2147483647, id LIMIT 500""")
+def thinned_and_capped(spark, sf_dir):
+    return sampling.thin_and_cap(_distinct_lines(spark, sf_dir), "month", "id", 500).select("id", "month")
+
+
+@query(f"WITH {_DISTINCT} SELECT id FROM u ORDER BY ((id % 2147483647) * 742938285 + 1234) % 2147483647, id LIMIT 100")
+def shuffled_rows(spark, sf_dir):
+    return sampling.shuffled(_distinct_lines(spark, sf_dir).select("id"), "id", 100, 1234)
+
+
+@query("""WITH t AS (SELECT event_id, f AS target, row_number() OVER (PARTITION BY event_id ORDER BY (((event_id * 30 + f) % 2147483647) * 742938285 + 5) % 2147483647, f) AS k FROM events, (SELECT unnest(range(30)) AS f))
+SELECT event_id, target FROM t WHERE k <= 4""")
+def random_targets(spark, sf_dir):
+    """Four frames of thirty for each training item."""
+    out = sampling.random_frames(table(spark, sf_dir, "events").select("event_id"), "event_id", 30, 4, 5)
+    return out.select("event_id", F.col("target").cast("long").alias("target"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, l_suppkey % 50 AS f, (l_quantity % 8)::INT AS x, (l_partkey % 8)::INT AS y FROM lineitem) JOIN embeddings ON vec_id = f WHERE x % 2 = 0 AND y % 2 = 0 AND embedding[y * 8 + x + 1] > 0")
+def on_masked_grid(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("frame"), (F.col("l_quantity") % 8).cast("int").alias("x"), (F.col("l_partkey") % 8).cast("int").alias("y"))  # noqa: E741
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v > 0).alias("m"))
+    return sampling.on_grid(l, e, "m", 2).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT vec_id, label FROM embeddings")
+def label_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    dense = sampling.dense_labels(e, "label")
+    return sampling.original_labels(e.join(dense, "label").drop("label"), dense, "label").select("vec_id", "label")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def label_counts(spark, sf_dir):
+    return sampling.label_counts(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query("SELECT 'p' || p_partkey AS stem, 'images/p' || p_partkey || '.jpg' AS left, 'depth/x.y/p' || p_partkey || '.npy' AS right FROM part")
+def paired_files(spark, sf_dir):
+    """Images and depths of the same name in different folders."""
+    p = table(spark, sf_dir, "part")
+    path = lambda a, b: p.select(F.concat(F.lit(a), F.col("p_partkey").cast("string"), F.lit(b)).alias("path"))
+    return sampling.paired_by_stem(path("images/p", ".jpg"), path("depth/x.y/p", ".npy"))
+
+
+@query("SELECT 'rows' AS name, count(*) AS n FROM part WHERE NOT p_size > 40 UNION ALL SELECT 'stats', count(*) FROM part JOIN lineitem ON p_partkey = l_partkey WHERE NOT p_size > 40")
+def cull_with_statistics(spark, sf_dir):
+    """What is culled goes from the running statistics too."""
+    stats = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    kept, rest = sampling.cull_with(table(spark, sf_dir, "part"), F.col("p_size") > 40, [stats], "p_partkey")
+    count = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
+    return count(kept, "rows").unionAll(count(rest, "stats"))
+
+
+@query(f"""WITH e AS (SELECT label, vec_id, {embedding_sql(6)} FROM embeddings), s AS (SELECT label, var_pop(e0) + var_pop(e1) + var_pop(e2) AS a, var_pop(e3 + 1e6) + var_pop(e4 - 1e6) + var_pop(e5) AS b FROM e GROUP BY label)
+SELECT label, round(sqrt(b / a), 4) AS scale, true AS proper FROM s""")
+def procrustes_scale(spark, sf_dir):
+    """Unrelated point sets far from the origin: the scale is the ratio of their spreads, the rotation proper."""
+    p = _pairs(spark, sf_dir).withColumns({"tx": F.col("tx") + 1e6, "ty": F.col("ty") - 1e6})
+    f = fits.procrustes(p, ["label"])
+    r = [F.get("rot", F.lit(i)) for i in range(9)]
+    det = r[0] * (r[4] * r[8] - r[5] * r[7]) - r[1] * (r[3] * r[8] - r[5] * r[6]) + r[2] * (r[3] * r[7] - r[4] * r[6])
+    return f.select("label", F.round("scale", 4).alias("scale"), (F.abs(det - 1) < 1e-6).alias("proper"))

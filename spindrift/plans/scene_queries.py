@@ -135,16 +135,16 @@ def normalised_coordinates(spark, sf_dir):
 
 # --- rasters ---------------------------------------------------------------------
 
-_XY = "l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS vec_id, l_quantity / 50 * 7 AS x, l_discount * 70 AS y FROM lineitem WHERE l_linenumber = 1)"
+_XY = "l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS vec_id, l_quantity / 50 * 7 AS x, l_discount * 70 AS y FROM lineitem)"
 
 
 @query(f"""WITH {_XY}, c AS (SELECT l.*, embedding AS e, floor(x)::INT AS x0, floor(y)::INT AS y0, x - floor(x) AS fx, y - floor(y) AS fy FROM l JOIN embeddings USING (vec_id)),
 v AS (SELECT *, e[y0*8 + x0 + 1]::DOUBLE AS a, e[y0*8 + least(x0+1, 7) + 1]::DOUBLE AS b, e[least(y0+1, 7)*8 + x0 + 1]::DOUBLE AS c, e[least(y0+1, 7)*8 + least(x0+1, 7) + 1]::DOUBLE AS d FROM c)
-SELECT l_orderkey, l_partkey, round(a*(1-fx)*(1-fy) + b*fx*(1-fy) + c*(1-fx)*fy + d*fx*fy, 5) AS sampled FROM v WHERE y <= 6.99 AND x <= 6.99""")
+SELECT l_orderkey, l_linenumber, l_partkey, round(a*(1-fx)*(1-fy) + b*fx*(1-fy) + c*(1-fx)*fy + d*fx*fy, 5) AS sampled FROM v""")
 def raster_bilinear(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", (F.col("l_suppkey") % 50).alias("vec_id"), (F.col("l_quantity") / 50 * 7).alias("x"), (F.col("l_discount") * 70).alias("y"))  # noqa: E741
-    j = l.where("y <= 6.99 AND x <= 6.99").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return rounded(j.select("l_orderkey", "l_partkey", bilinear(F.col("embedding"), F.col("x"), F.col("y"), F.lit(8), F.lit(8)).alias("sampled")))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("vec_id"), (F.col("l_quantity") / 50 * 7).alias("x"), (F.col("l_discount") * 70).alias("y"))  # noqa: E741
+    j = l.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return rounded(j.select("l_orderkey", "l_linenumber", "l_partkey", bilinear(F.col("embedding"), F.col("x"), F.col("y"), F.lit(8), F.lit(8)).alias("sampled")))
 
 
 def _rasters(spark, sf_dir):
@@ -154,14 +154,16 @@ def _rasters(spark, sf_dir):
 _PIX = "px AS (SELECT vec_id AS frame, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))"
 
 
-@query(f"""WITH {_PIX}, d AS (SELECT frame, y, x, v + 2 AS d FROM px), p AS (SELECT frame, y, x, (x - 3.5) / 10 * d AS px, (y - 3.5) / 10 * d AS py, d AS pz FROM d),
+_NORMALS = f"""WITH {_PIX}, d AS (SELECT frame, y, x, v + 2 AS d FROM px), p AS (SELECT frame, y, x, (x - 3.5) / 10 * d AS px, (y - 3.5) / 10 * d AS py, d AS pz FROM d),
 n AS (SELECT frame, y, x, {', '.join(f'lead({c}) OVER h - lag({c}) OVER h AS a{c[1]}, lag({c}) OVER v - lead({c}) OVER v AS u{c[1]}' for c in ('px', 'py', 'pz'))} FROM p WINDOW h AS (PARTITION BY frame, y ORDER BY x), v AS (PARTITION BY frame, x ORDER BY y)),
-k AS (SELECT frame, y, x, ay*uz - az*uy AS cx, az*ux - ax*uz AS cy, ax*uy - ay*ux AS cz FROM n WHERE ax IS NOT NULL AND ux IS NOT NULL)
-SELECT frame, y, x, round(cx / sqrt(cx*cx+cy*cy+cz*cz), 5) AS nx, round(cy / sqrt(cx*cx+cy*cy+cz*cz), 5) AS ny, round(cz / sqrt(cx*cx+cy*cy+cz*cz), 5) AS nz FROM k""")
+k AS (SELECT frame, y, x, ay*uz - az*uy AS cx, az*ux - ax*uz AS cy, ax*uy - ay*ux AS cz FROM n)"""
+
+
+@query(_NORMALS + "SELECT frame, y, x, " + ", ".join(f"coalesce(round(c{a} / sqrt(cx*cx+cy*cy+cz*cz), 5), 0) AS n{a}" for a in "xyz") + " FROM k")
 def raster_normals(spark, sf_dir):
     f = _rasters(spark, sf_dir).withColumn("depth", F.transform("v", lambda v: v + 2.0))
     n = rasters.normals(f, "depth", [F.lit(10.0), F.lit(10.0), F.lit(3.5), F.lit(3.5)])
-    p = rasters.pixels(n, ["frame"], n=F.col("normals")).where("x > 0 AND y > 0 AND x < 7 AND y < 7")
+    p = rasters.pixels(n, ["frame"], n=F.col("normals"))
     return rounded(p.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "n.nx", "n.ny", "n.nz"))
 
 
@@ -177,11 +179,14 @@ def raster_gradient_loss(spark, sf_dir):
     return rounded(rasters.gradient_loss(f, "v", "t", "m", 0.95), 6)
 
 
-@query(f"""WITH {_PIX} SELECT a.frame, a.y, a.x, quantile_disc(b.v, 0.5) AS med FROM px a JOIN px b ON a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1
-WHERE a.x BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 GROUP BY ALL""")
+_MIRRORED = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(f"""WITH {_PIX}, o AS (SELECT i // 3 - 1 AS dy, i % 3 - 1 AS dx FROM range(9) r(i))
+SELECT a.frame, a.y, a.x, quantile_disc(b.v, 0.5) AS med FROM px a, o, px b WHERE a.frame = b.frame AND b.x = {_MIRRORED.format('a.x + dx')} AND b.y = {_MIRRORED.format('a.y + dy')} GROUP BY ALL""")
 def raster_median3(spark, sf_dir):
     m = rasters.median_filter(_rasters(spark, sf_dir), "v", 3)
-    p = rasters.pixels(m, ["frame"], med=F.col("filtered")).where("x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6")
+    p = rasters.pixels(m, ["frame"], med=F.col("filtered"))
     return p.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "med")
 
 
@@ -240,23 +245,23 @@ def soft_argmax(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v.cast("double") + 2.0).alias("depth"), F.transform("embedding", lambda v: (v > -0.25).cast("double")).alias("mask"))
 
 
 def _frame_cameras(spark, sf_dir):
     f = F.col("frame")
     c2w = g.rigid([F.cos(f * 0.05), F.lit(0.0), F.sin(f * 0.05), F.lit(0.0), F.lit(1.0), F.lit(0.0), -F.sin(f * 0.05), F.lit(0.0), F.cos(f * 0.05)], [f * 0.1, F.lit(0.2), F.lit(-1.0)])
-    return table(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("frame")).select("frame", F.lit(10.0).alias("fx"), F.lit(10.0).alias("fy"), F.lit(3.5).alias("cx"), F.lit(3.5).alias("cy"), g.pack(c2w).alias("c2w"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame")).select("frame", F.lit(10.0).alias("fx"), F.lit(10.0).alias("fy"), F.lit(3.5).alias("cx"), F.lit(3.5).alias("cy"), g.pack(c2w).alias("c2w"))
 
 
-_LIFT = f"""WITH {TRACKS_SQL}, o AS (SELECT track_id % 10 AS query_t, track_id AS point_id, t AS target_t, least(x / 40, 6.9) AS px, (event_id % 70) / 10.0 AS py, ((event_id * 7) % 11 - 8) * 0.6 AS occ, ((event_id * 3) % 13 - 10) * 0.5 AS dist FROM tracks WHERE t < 40),
-f AS (SELECT vec_id AS target_t, list_transform(embedding, lambda v: v::DOUBLE + 2) AS d, list_transform(embedding, lambda v: (v > -0.25)::INT) AS m FROM embeddings WHERE vec_id < 40),
+_LIFT = f"""WITH {TRACKS_SQL}, o AS (SELECT track_id % 10 AS query_t, track_id AS point_id, t AS target_t, least(x / 40, 6.9) AS px, (event_id % 70) / 10.0 AS py, ((event_id * 7) % 11 - 8) * 0.6 AS occ, ((event_id * 3) % 13 - 10) * 0.5 AS dist FROM tracks),
+f AS (SELECT vec_id AS target_t, list_transform(embedding, lambda v: v::DOUBLE + 2) AS d, list_transform(embedding, lambda v: (v > -0.25)::INT) AS m FROM embeddings),
 c AS (SELECT *, floor(px)::INT AS x0, floor(py)::INT AS y0, px - floor(px) AS fx, py - floor(py) AS fy FROM o JOIN f USING (target_t)),
 s AS (SELECT *, d[y0*8+x0+1]*(1-fx)*(1-fy) + d[y0*8+x0+2]*fx*(1-fy) + d[y0*8+x0+9]*(1-fx)*fy + d[y0*8+x0+10]*fx*fy AS dep,
   m[y0*8+x0+1]*(1-fx)*(1-fy) + m[y0*8+x0+2]*fx*(1-fy) + m[y0*8+x0+9]*(1-fx)*fy + m[y0*8+x0+10]*fx*fy = 1 AS inside, 1 - 1/(1+exp(-occ)) AS vi, 1 - 1/(1+exp(-dist)) AS co FROM c),
 v AS (SELECT *, inside AND vi*co > 0.5 AS visible, inside AND (1-vi)*co > 0.5 AS invisible, CASE WHEN inside AND (vi*co > 0.5 OR (1-vi)*co > 0.5) THEN co ELSE 0 END AS confidence FROM s),
-n AS (SELECT query_t, point_id, count(*) FILTER (visible) AS n, bool_or(inside AND target_t = query_t) AS qi FROM v GROUP BY ALL), q AS (SELECT query_t, least(2.0, quantile_cont(n, 0.1)) AS lim FROM n GROUP BY query_t),
+n AS (SELECT query_t, point_id, count(*) FILTER (visible) AS n, bool_or(inside AND target_t = query_t) AS qi FROM v GROUP BY ALL), q AS (SELECT query_t, least(5.0, quantile_cont(n, 0.1)) AS lim FROM n GROUP BY query_t),
 k AS (SELECT query_t, point_id FROM n JOIN q USING (query_t) WHERE qi AND n >= lim),
 w AS (SELECT *, (px-3.5)/10*dep AS a, (py-3.5)/10*dep AS b FROM v SEMI JOIN k USING (query_t, point_id))
 SELECT query_t, point_id, target_t, round(cos(target_t*0.05)*a + sin(target_t*0.05)*dep + target_t*0.1, 4) AS x, round(b + 0.2, 4) AS y, round(cos(target_t*0.05)*dep - sin(target_t*0.05)*a - 1, 4) AS z, visible, invisible, round(confidence, 4) AS confidence FROM w"""
@@ -264,25 +269,148 @@ SELECT query_t, point_id, target_t, round(cos(target_t*0.05)*a + sin(target_t*0.
 
 @query(_LIFT)
 def lift_tracks(spark, sf_dir):
-    t, i = track_table(spark, sf_dir).where("t < 40"), F.col("event_id")
+    t, i = track_table(spark, sf_dir), F.col("event_id")
     t2 = t.select((F.col("track_id") % 10).alias("query_t"), F.col("track_id").alias("point_id"), F.col("t").cast("long").alias("target_t"), F.least(F.col("x") / 40, F.lit(6.9)).alias("px"), (i % 70 / 10.0).alias("py"), (((i * 7) % 11 - 8) * 0.6).alias("occ_logit"), (((i * 3) % 13 - 10) * 0.5).alias("dist_logit"))
-    return rounded(scene.lift_tracks(t2, _frames(spark, sf_dir), _frame_cameras(spark, sf_dir), 40), 4)
+    return rounded(scene.lift_tracks(t2, _frames(spark, sf_dir), _frame_cameras(spark, sf_dir), 100), 4)
 
 
-@query(f"""WITH {_PIX}, b AS (SELECT frame, y, x, v + 2 AS d, y * 8 + x AS point_id FROM px WHERE frame < 40 AND v <= -0.25),
+@query(f"""WITH {_PIX}, b AS (SELECT frame, y, x, v + 2 AS d, y * 8 + x AS point_id FROM px WHERE v <= -0.25),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY (point_id % 2147483647) * 742938285 % 2147483647, point_id) AS k FROM b)
 SELECT frame, point_id, round(cos(frame*0.05)*(x-3.5)/10*d + sin(frame*0.05)*d + frame*0.1, 4) AS x, round((y-3.5)/10*d + 0.2, 4) AS y, round(cos(frame*0.05)*d - sin(frame*0.05)*(x-3.5)/10*d - 1, 4) AS z FROM r WHERE k <= 5""")
 def background_points(spark, sf_dir):
     return rounded(scene.background_points(_frames(spark, sf_dir), _frame_cameras(spark, sf_dir), 5), 4)
 
 
-@query(f"""WITH {TRACKS_SQL}, kp AS (SELECT track_id, t AS frame, least(x / 40, 6.9) AS px, (event_id % 70) / 10.0 AS py, visible FROM tracks WHERE t < 40),
+@query(f"""WITH {TRACKS_SQL}, kp AS (SELECT track_id, t AS frame, least(x / 40, 6.9) AS px, (event_id % 70) / 10.0 AS py, visible FROM tracks),
 f AS (SELECT vec_id AS frame, list_transform(embedding, lambda v: CASE WHEN v > -0.25 THEN v::DOUBLE + 2 ELSE 0 END) AS d FROM embeddings),
 c AS (SELECT *, floor(px)::INT AS x0, floor(py)::INT AS y0, px - floor(px) AS fx, py - floor(py) AS fy FROM kp JOIN f USING (frame)),
 s AS (SELECT *, d[y0*8+x0+1] AS a, d[y0*8+x0+2] AS b, d[y0*8+x0+9] AS e, d[y0*8+x0+10] AS g FROM c),
 v AS (SELECT *, visible AND (a<>0)::INT*(1-fx)*(1-fy) + (b<>0)::INT*fx*(1-fy) + (e<>0)::INT*(1-fx)*fy + (g<>0)::INT*fx*fy = 1 AS valid FROM s)
 SELECT track_id, frame, valid, round(CASE WHEN valid THEN a*(1-fx)*(1-fy) + b*fx*(1-fy) + e*(1-fx)*fy + g*fx*fy ELSE 0 END, 5) AS depth_at FROM v""")
 def keypoint_lift(spark, sf_dir):
-    kp = track_table(spark, sf_dir).where("t < 40").select("track_id", F.col("t").cast("long").alias("frame"), F.least(F.col("x") / 40, F.lit(6.9)).alias("px"), (F.col("event_id") % 70 / 10.0).alias("py"), "visible")
+    kp = track_table(spark, sf_dir).select("track_id", F.col("t").cast("long").alias("frame"), F.least(F.col("x") / 40, F.lit(6.9)).alias("px"), (F.col("event_id") % 70 / 10.0).alias("py"), "visible")
     f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: F.when(v > -0.25, v.cast("double") + 2.0).otherwise(0.0)).alias("depth"))
     return rounded(scene.keypoint_lift(kp, f).select("track_id", "frame", "valid", "depth_at"))
+
+
+# --- point maps, volumes, padding ----------------------------------------------------
+
+
+_DEPTH = f"{_PIX}, p AS (SELECT frame, y, x, v + 2 AS d FROM px)"
+
+
+def _posed(spark, sf_dir):
+    """Depth rasters with a camera for each, turned about y."""
+    return _rasters(spark, sf_dir).withColumn("depth", F.transform("v", lambda v: v + 2.0)).join(_frame_cameras(spark, sf_dir).select("frame", "c2w"), "frame")
+
+
+@query(f"""WITH {_DEPTH} SELECT frame, y, x, round(x / 7.0, 5) AS ux, round(cos(frame*0.05)*(x-3.5)/10*d + sin(frame*0.05)*d + frame*0.1, 4) AS wx, round((y-3.5)/10*d + 0.2, 4) AS wy, round(cos(frame*0.05)*d - sin(frame*0.05)*(x-3.5)/10*d - 1, 4) AS wz FROM p""")
+def world_points(spark, sf_dir):
+    f = _posed(spark, sf_dir)
+    k = [F.lit(10.0), F.lit(10.0), F.lit(3.5), F.lit(3.5)]
+    p = rasters.pixels(f, ["frame"], u=rasters.unit_points("depth"), world=rasters.world_point_map(f, "depth", k, g.unpack(F.col("c2w"), 16)))
+    return p.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("u.x", 5).alias("ux"), *(F.round(f"world.{a}", 4).alias(f"w{a}") for a in "xyz"))
+
+
+@query(f"""WITH {_DEPTH}, q AS (SELECT frame, y, x, (x - 4.0) / 10 * d AS a, (y - 4.0) / 10 * d AS b, d FROM p),
+w AS (SELECT frame, y, x, cos(frame*0.05)*a + sin(frame*0.05)*d AS px, b AS py, cos(frame*0.05)*d - sin(frame*0.05)*a AS pz FROM q),
+n AS (SELECT frame, y, x, {', '.join(f'lead({c}) OVER h - lag({c}) OVER h AS r{c[1]}, lead({c}) OVER v - lag({c}) OVER v AS s{c[1]}' for c in ('px', 'py', 'pz'))} FROM w WINDOW h AS (PARTITION BY frame, y ORDER BY x), v AS (PARTITION BY frame, x ORDER BY y)),
+k AS (SELECT frame, y, x, sy*rz - sz*ry AS cx, sz*rx - sx*rz AS cy, sx*ry - sy*rx AS cz FROM n)
+SELECT frame, y, x, {', '.join(f'coalesce(round(c{a} / sqrt(cx*cx+cy*cy+cz*cz), 5), 0) AS n{a}' for a in 'xyz')} FROM k""")
+def rendered_normals(spark, sf_dir):
+    """The other convention: rays through the raster's middle, world axes, the step down crossed with the step right."""
+    n = rasters.surface_normals(_posed(spark, sf_dir), "depth", (10.0, 10.0), g.unpack(F.col("c2w"), 16))
+    p = rasters.pixels(n, ["frame"], n=F.col("normals"))
+    return rounded(p.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "n.nx", "n.ny", "n.nz"))
+
+
+@query(f"""WITH {_PIX}, o AS (SELECT i AS k, i // 3 - 1 AS dy, i % 3 - 1 AS dx FROM range(9) r(i)),
+e AS (SELECT a.frame, a.y, a.x, k, coalesce(b.v, 0.0) AS v, coalesce(b.v > 0, false) AS ok FROM px a CROSS JOIN o LEFT JOIN px b ON a.frame = b.frame AND b.x = a.x + dx AND b.y = a.y + dy),
+m AS (SELECT *, min(v) OVER (PARTITION BY frame) AS lo, max(v) OVER (PARTITION BY frame) AS hi, sum((NOT ok)::INT) OVER (PARTITION BY frame ORDER BY y, x, k) AS turn FROM e)
+SELECT frame, y, x, quantile_disc(CASE WHEN ok THEN v WHEN turn % 2 = 1 THEN lo ELSE hi END, 0.5) AS med FROM m GROUP BY ALL""")
+def raster_filled_median(spark, sf_dir):
+    """Invalid entries are set in turn to the least and the greatest value."""
+    m = rasters.filled_median(_rasters(spark, sf_dir).withColumn("m", F.transform("v", lambda v: (v > 0).cast("int"))), "v", "m", 3)
+    p = rasters.pixels(m, ["frame"], med=F.col("filtered"))
+    return p.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "med")
+
+
+_CORNERS = " + ".join(f"e[(z0+{k})*16 + (y0+{j})*4 + x0+{i} + 1]::DOUBLE*{'fz' if k else '(1-fz)'}*{'fy' if j else '(1-fy)'}*{'fx' if i else '(1-fx)'}" for k in (0, 1) for j in (0, 1) for i in (0, 1))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS vec_id, l_quantity / 50 * 3 AS x, l_discount * 30 AS y, l_tax * 37.5 AS z FROM lineitem),
+c AS (SELECT l.*, embedding AS e, least(floor(x), 2)::INT AS x0, least(floor(y), 2)::INT AS y0, least(floor(z), 2)::INT AS z0 FROM l JOIN embeddings USING (vec_id)), f AS (SELECT *, x - x0 AS fx, y - y0 AS fy, z - z0 AS fz FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, round({_CORNERS}, 5) AS sampled FROM f""")
+def volume_trilinear(spark, sf_dir):
+    """A vector of 64 values as a volume of 4 x 4 x 4."""
+    from ..functions.raster import trilinear
+
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("vec_id"), (F.col("l_quantity") / 50 * 3).alias("x"), (F.col("l_discount") * 30).alias("y"), (F.col("l_tax") * 37.5).alias("z"))  # noqa: E741
+    j = l.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return rounded(j.select("l_orderkey", "l_linenumber", "l_partkey", trilinear(F.col("embedding"), F.col("x"), F.col("y"), F.col("z"), 4, 4, 4).alias("sampled")))
+
+
+@query(f"WITH {_PIX} SELECT frame, 12 AS h, 12 AS w, 2 AS top, round(sum(v * ((y + 2) * 12 + x + 2)), 4) AS weighed, true AS restored FROM px GROUP BY frame")
+def pad_round_trip(spark, sf_dir):
+    f = _rasters(spark, sf_dir).withColumn("kept", F.col("v"))
+    p = rasters.pad_to_multiple(f, "v", 6)
+    held = p.withColumn("weighed", F.aggregate(F.transform("v", lambda v, i: v * i), F.lit(0.0), lambda a, x: a + x)).withColumns({"h1": F.col("h"), "w1": F.col("w"), "top1": F.col("top")})
+    back = rasters.unpadded(held, "v", 8, 8)
+    return rounded(back.select("frame", F.col("h1").alias("h"), F.col("w1").alias("w"), F.col("top1").alias("top"), "weighed", (F.col("v") == F.col("kept")).alias("restored")), 4)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS vec_id, l_quantity / 6 AS px, l_discount * 90 AS py, l_tax - 0.01 AS depth, (l_partkey % 10) / 10.0 AS opacity FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey FROM l JOIN embeddings USING (vec_id) WHERE depth > 1e-6 AND px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7 AND embedding[(round_even(py, 0) * 8 + round_even(px, 0))::INT + 1] > 0 AND opacity >= 0.3""")
+def visible_centres(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("frame"), (F.col("l_quantity") / 6).alias("px"), (F.col("l_discount") * 90).alias("py"), (F.col("l_tax") - 0.01).alias("depth"), (F.col("l_partkey") % 10 / 10.0).alias("opacity"))  # noqa: E741
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: (v > 0).cast("double")).alias("mask"))
+    return scene.visible_centres(l, f, 0.3).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"WITH {_PIX} SELECT frame, y, x FROM px WHERE v + 0.5 > 0.4 AND (x + y) % 3 > 0 AND NOT (frame % 5 = 0 OR v = 0)")
+def rendered_tracks(spark, sf_dir):
+    p = rasters.pixels(_rasters(spark, sf_dir), ["frame"], v=F.col("v"))
+    held = p.withColumns({"alpha": F.col("v") + 0.5, "mask": (F.col("x") + F.col("y")) % 3, "track": F.array(F.lit(0.0), F.when(F.col("frame") % 5 == 0, 0.0).otherwise(F.col("v")))})
+    return scene.rendered_tracks(held, "alpha", "mask", "track", 0.4).select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+
+@query("""WITH n AS (SELECT n_nationkey * 0.1 AS a, n_nationkey * 0.2 AS tx FROM nation), c AS (SELECT avg(-(cos(a) * tx - sin(a) * 3)) AS px, avg(-0.5) AS py, avg(-(sin(a) * tx + cos(a) * 3)) AS pz, avg(-sin(a)) AS zx, avg(cos(a)) AS zz FROM n),
+u AS (SELECT *, zx / sqrt(zx*zx + zz*zz) AS ux, zz / sqrt(zx*zx + zz*zz) AS uz FROM c)
+SELECT round(uz, 5) AS r00, round(-ux, 5) AS r02, round(-(uz * px - ux * pz), 5) AS t0, round(-py, 5) AS t1, round(-(ux * px + uz * pz), 5) AS t2 FROM u""")
+def mean_camera(spark, sf_dir):
+    m = scene.mean_camera(_cameras(spark, sf_dir))
+    return m.select(*(F.round(F.get("w2c", F.lit(i)), 5).alias(n) for n, i in (("r00", 0), ("r02", 2), ("t0", 3), ("t1", 7), ("t2", 11))))
+
+
+@query("SELECT round(max(sqrt((x - cx)^2 + (y - cy)^2)), 5) AS radius FROM (SELECT s_acctbal AS x, s_nationkey * 10.0 AS y FROM supplier), (SELECT avg(s_acctbal) AS cx, avg(s_nationkey * 10.0) AS cy FROM supplier)")
+def camera_radius(spark, sf_dir):
+    from ..operators.robust import camera_radius as radius
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 10.0).alias("y"))
+    return rounded(radius(s, ["x", "y"]))
+
+
+@query("SELECT event_id, (event_id + 1) % 30 AS shown FROM events")
+def playback(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scene.replay(F.col("event_id"), 30).alias("shown"))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS i, n_nationkey * 0.1 AS a, n_nationkey * 0.2 AS tx FROM nation), l AS (SELECT *, lead(a) OVER w AS b, lead(tx) OVER w AS ux FROM n WINDOW w AS (ORDER BY i))
+SELECT i AS cam, round(cos(b - a), 5) AS r00, round(sin(b - a), 5) AS r02, round(ux - (cos(b-a) * tx + sin(b-a) * 3), 5) AS t0, round(3 - (cos(b-a) * 3 - sin(b-a) * tx), 5) AS t2 FROM l WHERE b IS NOT NULL""")
+def relative_poses(spark, sf_dir):
+    """From each camera to the next one."""
+    r = scene.relative_transforms(_cameras(spark, sf_dir).withColumn("seq", F.lit(0)), "seq", "cam")
+    at = lambda i: F.round(F.get("relative", F.lit(i)), 5)
+    return r.select("cam", at(0).alias("r00"), at(2).alias("r02"), at(3).alias("t0"), at(11).alias("t2"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, least(greatest(0.5 + embedding[4]::DOUBLE, 1e-6), 1 - 1e-6) AS c FROM embeddings),
+d AS (SELECT a.vec_id, sqrt((a.e0-b.e0)^2 + (a.e1-b.e1)^2 + (a.e2-b.e2)^2) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.e0-b.e0)^2 + (a.e1-b.e1)^2 + (a.e2-b.e2)^2, b.vec_id) AS k FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, avg(d) AS m FROM d WHERE k <= 3 GROUP BY vec_id), q AS (SELECT quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM m)
+SELECT vec_id, round(e0, 5) AS x, round(ln(least(greatest(m, lo), hi)), 5) AS s, round(ln(c / (1 - c)), 4) AS red, round(ln(0.7 / 0.3), 5) AS opacity, 1.0::DOUBLE AS quat FROM m JOIN e USING (vec_id), q""")
+def initial_gaussians(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *embedding_dims(3), (0.5 + F.get("embedding", F.lit(3)).cast("double")).alias("red"))
+    out = scene.initial_gaussians(e, "vec_id", ["e0", "e1", "e2"], ["red"], 0.05)
+    at = lambda c, i=0: F.get(c, F.lit(i))
+    norm = F.aggregate("quat", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("vec_id", F.round(at("mean"), 5).alias("x"), F.round(at("log_scale", 2), 5).alias("s"), F.round(at("colour_logit"), 4).alias("red"), F.round("opacity_logit", 5).alias("opacity"), F.round(norm, 5).alias("quat"))

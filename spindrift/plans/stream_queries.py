@@ -13,11 +13,14 @@ from .bind import query, rounded, table
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for its present input, written by foreachBatch to the shared folder."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-")).rstrip("/")
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{out}/rows")).start()
+    """All that a stream gives for its present input, appended to a table in the shared folder batch by batch."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spindrift-")
+    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{out}/rows")).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
@@ -29,4 +32,5 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT event_id // 100 AS win, user_id, round(sum(value), 4) AS grad_sum, count(*) AS vis_count, max(event_id % 23) AS max_radius FROM events GROUP BY ALL")
 def stream_step_window(spark, sf_dir):
-    return rounded(_drained(spark, windows.step_window_stream(_stream(spark, sf_dir, "events")), "complete"), 4)
+    rows = _drained(spark, windows.step_window_stream(_stream(spark, sf_dir, "events")), "update")
+    return rounded(windows.latest(rows, ["win", "user_id"], "vis_count"), 4)

@@ -166,3 +166,41 @@ def camera_bounds(spark, sf_dir):
 @query(f"WITH a AS ({_AXES}) SELECT round(avg(x), 4) AS mean_x, median(x) AS median_x, round(avg(y), 4) AS mean_y, round(median(y), 4) AS median_y FROM a")
 def intrinsics_summary(spark, sf_dir):
     return rounded(robust.intrinsics(_axes(spark, sf_dir), ["x", "y"]), 4)
+
+
+@query(f"WITH {TRACKS_SQL} SELECT event_id, (1 - 1 / (1 + exp(-((event_id % 9) - 4.0)))) * (1 - 1 / (1 + exp(-((event_id % 7) - 3.0)))) > 0.5 AS visible FROM tracks")
+def occlusion_decode(spark, sf_dir):
+    """The earlier rule of visibility."""
+    t = track_table(spark, sf_dir)
+    return tracks.decode_occlusion(t, F.col("event_id") % 9 - 4.0, F.col("event_id") % 7 - 3.0).select("event_id", "visible")
+
+
+@query(f"WITH {TRACKS_SQL}, q AS (SELECT track_id, x AS qx, y AS qy FROM tracks WHERE t = 3) SELECT track_id, round(max(sqrt((x - qx)^2 + (y - qy)^2)), 5) AS score FROM tracks JOIN q USING (track_id) GROUP BY track_id ORDER BY max(sqrt((x - qx)^2 + (y - qy)^2)) DESC, track_id LIMIT 20")
+def top_motion(spark, sf_dir):
+    """The tracks that go farthest from where they are in a query frame."""
+    from ..operators.sampling import top_k
+
+    return rounded(top_k(tracks.motion_scores(track_table(spark, sf_dir), 3, ["x", "y"]), "score", "track_id", 20))
+
+
+@query(f"WITH {TRACKS_SQL} SELECT track_id, t, round(CASE WHEN t = track_id % 4 THEN 7.0 ELSE x END, 5) AS x, round(y, 5) AS y FROM tracks")
+def pinned_query_points(spark, sf_dir):
+    t = track_table(spark, sf_dir)
+    q = t.where("t = track_id % 4").select("track_id", "t", F.lit(7.0).alias("x"), "y")
+    return rounded(tracks.pin_query_points(t, q, ["x", "y"]).select("track_id", "t", "x", "y"))
+
+
+@query("SELECT event_id, CASE WHEN p > 0 AND p < 1 THEN round(ln(p / (1 - p)), 5) END AS logit FROM (SELECT event_id, value / 100 AS p FROM events)")
+def logit_values(spark, sf_dir):
+    from ..functions.stats import logit
+
+    return rounded(table(spark, sf_dir, "events").select("event_id", logit(F.col("value") / 100).alias("logit")))
+
+
+@query("SELECT p_partkey, round(p_size / 255.0 * 2 - 1, 6) AS signed, round((p_size / 50.0 * 2 - 1) * p_retailprice, 4) AS clip_x, round((1 - p_size / 25.0 * 2) * p_retailprice, 4) AS clip_y FROM part")
+def range_transforms(spark, sf_dir):
+    from ..functions.raster import byte_to_signed, pixel_to_clip
+
+    p = table(spark, sf_dir, "part")
+    clip = pixel_to_clip(F.col("p_size"), F.col("p_size"), F.col("p_retailprice"), F.lit(50), F.lit(25))
+    return p.select("p_partkey", F.round(byte_to_signed(F.col("p_size")), 6).alias("signed"), F.round(clip[0], 4).alias("clip_x"), F.round(clip[1], 4).alias("clip_y"))

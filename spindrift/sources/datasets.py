@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import robust, scene
+from .captures import CasualCapture, MultiviewCapture, PhoneCapture
 from .files import read_or_empty
 
 
@@ -77,4 +78,4 @@ def open_capture(spark: SparkSession, kind: str, folder: str, **options) -> Capt
     return KINDS[kind](spark, folder, **options)
 
 
-KINDS = {"parquet": ParquetCapture}
+KINDS = {"parquet": ParquetCapture, "phone": PhoneCapture, "multiview": MultiviewCapture, "casual": CasualCapture}

@@ -39,9 +39,9 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
     """`(frame, time, c2w, w2c)` of lines `time tx ty tz qx qy qz qw`, relative to the middle frame."""
     schema = "time double, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
     rows = spark.read.schema(schema).csv(path, sep=" ", comment="#")
-    from pyspark.sql import Window as W
-
-    numbered = rows.withColumn("frame", F.row_number().over(W.orderBy("time")) - 1)
+    # a trajectory is one array of its times: a line's place in it is its number
+    times = rows.agg(F.sort_array(F.collect_list("time")).alias("times"))
+    numbered = rows.crossJoin(F.broadcast(times)).withColumn("frame", F.array_position("times", F.col("time")).cast("int") - 1).drop("times")
     held, q = g.hold(numbered, "q", [F.col(c) for c in ("qw", "qx", "qy", "qz")])
     posed = held.select("frame", "time", g.pack(g.rigid(g.quat_to_matrix(q), [F.col(c) for c in ("tx", "ty", "tz")])).alias("m"))
     middle = posed.agg(F.floor(F.count("*") / 2).alias("mid")).join(posed, F.col("frame") == F.col("mid")).select(F.col("m").alias("m0"))
@@ -132,6 +132,34 @@ def decode_pnm(data: bytes) -> tuple[int, int, list[float]]:
     return h, w, (raw / top).tolist()
 
 
+def read_png(spark: SparkSession, path: str) -> DataFrame:
+    """`(path, name, h, w, channels)` of PNG files, each channel an array of values from 0 to 1."""
+    import pandas as pd
+
+    def run(batches):
+        import numpy as np
+
+        from ..functions.images import decode_png
+
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf.path, pdf.content, strict=True):
+                image = decode_png(bytes(content))
+                values = image.astype(np.float64) / np.iinfo(image.dtype).max
+                rows.append((p, *image.shape[:2], [values[:, :, i].reshape(-1) for i in range(image.shape[2])]))
+            yield pd.DataFrame(rows, columns=["path", "h", "w", "channels"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, h int, w int, channels array<array<double>>").withColumn("name", stem(F.col("path")))
+
+
+def list_images(spark: SparkSession, path: str, every: int = 1, pattern: str = "*.{png,jpg,jpeg,JPG,PNG}") -> DataFrame:
+    """`(name, path)` of every n-th image file by name, file contents unread."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+    names = files.select(stem(F.col("path")).alias("name"), "path").orderBy("name").collect()
+    return spark.createDataFrame(names[::every], "name string, path string")
+
+
 def image_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """`(path, content)` of images as they arrive."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -145,6 +173,19 @@ def read_keypoints(spark: SparkSession, path: str, factor: float = 1.0) -> DataF
     return rows.select("t", "kp_id", (F.get("p", F.lit(0)) * 2.0 / factor).alias("x"), (F.get("p", F.lit(1)) * 2.0 / factor).alias("y"), (F.get("p", F.lit(2)) == 1.0).alias("visible"))
 
 
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made and written the first time it is asked for, and read after that."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table, or none of its rows if it isn't there."""
     from pyspark.errors import AnalysisException

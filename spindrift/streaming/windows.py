@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def step_window_stream(events: DataFrame, every: int = 100) -> DataFrame:
-    """Running statistics of an event stream by windows of event numbers, in complete mode: counts need no watermark."""
-    return events.groupBy(F.floor(F.col("event_id") / every).alias("win"), "user_id").agg(F.sum("value").alias("grad_sum"), F.count(F.lit(1)).alias("vis_count"), F.max(F.col("event_id") % 23).alias("max_radius"))
+def step_window_stream(events: DataFrame, every: int = 100, late: int = 1000) -> DataFrame:
+    """Running statistics of an event stream by windows of event numbers, in update mode.
+
+    An event's number stands for a second, so a watermark of `late` numbers
+    closes old windows: state holds the open ones alone, however long the stream.
+    A window's later rows replace its earlier ones: counts only grow.
+    """
+    numbered = events.withColumn("at", F.timestamp_seconds("event_id")).withWatermark("at", f"{late} seconds")
+    stats = numbered.groupBy(F.window("at", f"{every} seconds"), "user_id").agg(F.sum("value").alias("grad_sum"), F.count(F.lit(1)).alias("vis_count"), F.max(F.col("event_id") % 23).alias("max_radius"))
+    return stats.select(F.floor(F.unix_timestamp("window.start") / every).alias("win"), "user_id", "grad_sum", "vis_count", "max_radius")
+
+
+def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The last state of each key of what an update stream has written."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("s")).select(*keys, "s.*")
 
 
 def time_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
