@@ -138,10 +138,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """`(vec_id, embedding)` of either kind -> `(query_id, rank, vec_id, score)`.
 
     A query never returns a vector of its own vec_id.  Queries that share a
-    vec_id are answered once, for the least of their vectors.
+    vec_id are answered once, for the least of their usable vectors.
     """
     spark = vectors.sparkSession
-    known = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x * 256.0) < float("inf")))
+    known = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-known.count() // QUERY_BLOCK))
     known = known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     known = cut(known) if blocks > 1 else known
@@ -168,12 +169,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best vectors for every vector whose vec_id is divisible by 50.
 
-    Vectors that are null, or hold a null or non-finite component, take no part,
-    nor do rows without vec_id; a shorter vector counts as filled up with zeros;
-    repeated rows are candidates each, other than for a query of their own
-    vec_id; scores beyond 64 bits are held at the limit before
-    they are ranked; an empty table gives no
-    rows.
+    Vectors that are null, or hold a null or non-finite component, or one that
+    256 times itself is no longer finite, take no part, nor do rows without
+    vec_id; a shorter vector counts as filled up with zeros; repeated rows are
+    candidates each, other than for a query of their own vec_id, and of several
+    usable rows of a query's vec_id the least vector asks; scores beyond 64 bits
+    are held at the limit before they are ranked; an empty table gives no rows;
+    further columns are not read.
     """
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     return search(rows, rows.where("vec_id % 50 = 0"), 5)
@@ -181,13 +183,14 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0
+), q AS (
+  SELECT vec_id, list_transform(min(embedding), lambda x: floor(256 * x::DOUBLE)) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )

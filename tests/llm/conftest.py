@@ -55,6 +55,8 @@ def folder(spark, docs, tmp_path_factory):
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(260)]
     vectors += [(300 + i, vectors[0][1]) for i in range(60)]
     vectors += [(400, None), (450, [1.0, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [0.5] * 3), (650, []), (700, [1e300] * 8), (None, [1.0] * 8), (7, [0.1] * 8)]
+    # queries of several rows: the first of these is no vector
+    vectors += [(50, [None] + [0.9] * 7), (100, [-0.9] * 8), (100, [0.9] * 8)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").selectExpr("*", "0 AS score", "1 AS rank", "2 AS query_id").write.parquet(f"{out}/embeddings.parquet")
     return out
 
