@@ -1,3 +1,9 @@
+import datetime
+import hashlib
+import random
+import re
+import string
+
 from pyspark.sql import functions as F
 
 from spindrift.llm import chat, pii
@@ -28,12 +34,13 @@ def test_strips_carry_the_hash(spark, monkeypatch):
     assert {tuple(r) for r in chat.prefixes(chat.numbered_turns(frame)).collect()} == whole
 
 
-VALID = ["4111 1111 1111 1111", "4465758382889437", "+1 (743) 555-3824", "743-555-3824", "192.168.1.255", "2024-02-29", "31/12/1999", "123-45-6789", "DE89370400440532013000"]
+VALID = ["4111 1111 1111 1111", "4465758382889437", "+1 (743) 555-3824", "743-555-3824", "192.168.1.255", "2024-02-29", "31/12/1999", "12/31/1999", "123-45-6789", "DE89370400440532013000"]
+VALID += ["GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "Anna.Berg-77@mail.example.org"]
 INVALID = ["4485-7583-8288-9437", "256.1.1.1", "2023-02-29", "666-45-6789", "GB82370400440532013000", "1234567890123", "(123) 555-0000"]
 
 
 def shape(text):
-    return "".join("9" if c.isdigit() else c for c in text)
+    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in text)
 
 
 def test_pseudonyms_keep_format_and_come_back(spark):
@@ -48,6 +55,102 @@ def test_pseudonyms_keep_format_and_come_back(spark):
     assert all(a[0] != got[v].p for a, v in zip(other, VALID, strict=True))
 
 
+def prf(kind, i, half, size):
+    return int(hashlib.sha256(f"{pii.DEMO_KEY}|{kind}|{i}|{half}".encode()).hexdigest()[:15], 16) % size
+
+
+def moved(left, right, a, b, kind):
+    for i in range(pii.ROUNDS):
+        if i % 2:
+            right = (right + prf(kind, i, left, b)) % b
+        else:
+            left = (left + prf(kind, i, right, a)) % a
+    return left, right
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+
+
+def new_card(text):
+    digits = [c for c in text if c.isdigit()]
+    n = len(digits) - 1
+    u = n // 2
+    left, right = moved(int("".join(digits[:u])), int("".join(digits[u:n])), 10**u, 10 ** (n - u), "card")
+    body = f"{left:0{u}d}{right:0{n - u}d}"
+    out = iter(body + str(-luhn(body + "0") % 10))
+    return "".join(next(out) if c.isdigit() else c for c in text)
+
+
+def in_shape(text, kind):
+    """A text permuted within its shape, by the plain rule."""
+    shape = re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", text)))
+    u = len(text) // 2
+    halves = [text[:u], text[u:]]
+    for i in range(pii.ROUNDS):
+        own, other = halves[i % 2], halves[1 - i % 2]
+        digest = "".join(hashlib.sha512(f"{pii.DEMO_KEY}|{kind}:{shape}|{i}|{c}|{other}".encode()).hexdigest() for c in range(len(own) // 16 + 1))
+        out = ""
+        for at, c in enumerate(own):
+            first, size = (48, 10) if c in string.digits else (97, 26) if c in string.ascii_lowercase else (65, 26) if c in string.ascii_uppercase else (None, 0)
+            out += c if first is None else chr((ord(c) - first + int(digest[8 * at : 8 * at + 8], 16)) % size + first)
+        halves[i % 2] = out
+    return "".join(halves)
+
+
+def new_date(text):
+    day = datetime.date.fromisoformat(text) - datetime.date(1700, 1, 1)
+    left, right = moved(day.days // 773, day.days % 773, 189, 773, "date")
+    return str(datetime.date(1700, 1, 1) + datetime.timedelta(left * 773 + right))
+
+
+def test_table_against_the_plain_rule(spark, tmp_path):
+    """Counts and texts of a table of sentences with values of the kinds whose rule is written out here."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(120):
+        text, new, n = "", "", [0, 0, 0]
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                body = "".join(rng.choices(string.digits, k=15))
+                digits = body + str(-luhn(body + "0") % 10)
+                value = rng.choice([digits, " ".join(digits[j : j + 4] for j in range(0, 16, 4))])
+                after = new_card(value)
+                n[0] += 1
+                if rng.random() < 0.3 and " " in value:
+                    value, after = value + " 12/27", after + " 12/27"
+            elif kind == 1:
+                value = str(datetime.date(1700, 1, 1) + datetime.timedelta(rng.randrange(146_097)))
+                after = new_date(value)
+                n[1] += 1
+            elif kind == 2:
+                local, domain = "".join(rng.choices(string.ascii_letters + string.digits + "._-", k=rng.randint(1, 40))), rng.choice(["x.org", "mail.example.com"])
+                value, after = f"{local}@{domain}", f"{in_shape(local, 'email')}@{domain}"
+                n[2] += 1
+            else:
+                value = after = rng.choice(["plain words", "2023-02-29", "12345", "4111 1111 1111 1112"])
+            text, new = f"{text} <{value}>", f"{new} <{after}>"
+        rows.append((i, text))
+        want[i] = (*n, new)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_card, r.n_date, r.n_email, r.text) for r in q.op2_pii(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_cards_among_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    cases = {f"{card} 12/27": 1, "4111111111111111 123": 1, f"7 {card}": 1, f"1234 {card}": 1, f"{card} 5500 0000 0000 0004": 2, f"{card} 743 555 3824": 1, "1 " * 3000: 0}
+    rows = list(enumerate(cases))
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _pii", "2 AS `row`", "3 AS n_Card"), "k")
+    assert out.columns[:4] == ["doc_id", "text", "_pii", "row"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text in rows:
+        assert got[i].n_card == cases[text] and (got[i]._pii, got[i]["row"]) == (1, 2)
+        assert (card in got[i].text) == (card in text and not cases[text]) and shape(got[i].text) == shape(text)
+    assert got[5].n_phone == 1
+
+
 def test_permutation_is_one_to_one(spark):
     small = spark.range(15 * 8).select(pii.permute((F.col("id") / 8).cast("long"), F.col("id") % 8, F.lit(15).cast("long"), F.lit(8).cast("long"), "k", "t").alias("x"))
     assert small.distinct().count() == 120
