@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import geometry as g
-from spindrift.functions import stats
+from spindrift.functions import images, stats
 from spindrift.functions.raster import bilinear
-from spindrift.operators import fits, losses, memory, metrics, rasters, robust, sampling, scene, tracks
-from spindrift.sources import colmap, files, sinks
+from spindrift.operators import fits, losses, memory, metrics, quantiles, rasters, robust, sampling, scene, tracks
+from spindrift.sources import colmap, datasets, files, sinks
 
 
 def one(df):
@@ -237,3 +237,104 @@ def test_bounded_memory(spark, tmp_path):
     q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda df, _: out.extend(df.collect())).start()
     q.awaitTermination()
     assert len(out) == 24 and max(r.size for r in out) == 2 and min(r.size for r in out) == 1
+
+
+def test_quantiles_by_key(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v), float(v) ** 2) for k, n in ((None, 7), ("a", 1), ("b", 3000), ("c", 40)) for v in rng.normal(size=n)] + [("d", None, None), ("c", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = quantiles.quantile_values(df, {"lo": (F.col("x"), 0.05), "hi": (F.col("y"), 0.9)}, ["k"])
+    low = quantiles.quantile_values(df, {"m": (F.col("x"), 0.5)}, ["k"], lower=True)
+    for k in (None, "a", "b", "c"):
+        x = np.array([r[1] for r in rows if r[0] == k and r[1] == r[1]])
+        y = np.array([r[2] for r in rows if r[0] == k])
+        assert got[(k,)]["lo"] == pytest.approx(np.quantile(x, 0.05)) and got[(k,)]["hi"] == pytest.approx(np.quantile(y, 0.9))
+        assert low[(k,)]["m"] == np.sort(x)[(len(x) - 1) // 2]
+    assert got[("d",)] == {"lo": None, "hi": None} and quantiles.quantile_values(df.limit(0), {"x": (F.col("x"), 0.5)}) == {}
+    assert quantiles.quantile_table(df.limit(0), {"x": (F.col("x"), 0.5)}).first().x is None
+    placed = {r.k: (r.n, r.value) for r in quantiles.ranked_values(df, F.col("x"), ["k"], lambda n: n - 3).collect()}
+    assert placed["a"] == (1, None) and placed["c"][1] == sorted(r[1] for r in rows if r[0] == "c" and r[1] == r[1])[-3]
+
+
+def test_similarity_of_noisy_points(spark):
+    """Scale by the ratio of spreads, rotation by the decomposition, wherever the points are."""
+    rng = np.random.default_rng(3)
+    for shift in (0.0, 1e8):
+        a = rng.normal(size=(200, 3))
+        b = 1.7 * a @ np.linalg.qr(rng.normal(size=(3, 3)))[0].T + rng.normal(size=(200, 3)) * 0.8
+        w = rng.random(200)
+        rows = [(*map(float, p + shift), *map(float, t - shift), float(v)) for p, t, v in zip(a, b, w, strict=True)]
+        got = one(fits.procrustes(spark.createDataFrame(rows, "x double, y double, z double, tx double, ty double, tz double, w double"), [], F.col("w")))
+        v = w[:, None] / w.sum()
+        x, y = a - (a * v).sum(0), b - (b * v).sum(0)
+        u, _, vt = np.linalg.svd((v * y).T @ x)
+        rot = u @ np.diag([1, 1, np.sign(np.linalg.det(u) * np.linalg.det(vt))]) @ vt
+        assert got.scale == pytest.approx(np.sqrt((v * y * y).sum() / (v * x * x).sum()), rel=1e-5)
+        assert np.allclose(np.reshape(got.rot, (3, 3)), rot, atol=1e-5)
+
+
+def test_masked_similarity_is_the_formula(spark):
+    """Window by window, in loops."""
+    rng = np.random.default_rng(5)
+    p, t, m = rng.random((9, 7)), rng.random((9, 7)), (rng.random((9, 7)) > 0.5).astype(float)
+    k = np.exp(-0.5 * ((np.arange(3) - 1) / 1.5) ** 2)
+    k /= k.sum()
+
+    def blur(z):
+        across = np.zeros((9, 5))
+        known = np.zeros((9, 5))
+        for y in range(9):
+            for x in range(5):
+                seen = m[y, x : x + 3].sum()
+                across[y, x] = (z[y, x : x + 3] * m[y, x : x + 3] * k).sum() * 3 / seen if seen else 0
+                known[y, x] = seen > 0
+        out = np.zeros((7, 5))
+        for y in range(7):
+            for x in range(5):
+                seen = known[y : y + 3, x].sum()
+                out[y, x] = (across[y : y + 3, x] * k).sum() * 3 / seen if seen else 0
+        return out
+
+    a, b = blur(p), blur(t)
+    va, vb = np.maximum(blur(p * p) - a * a, 0), np.maximum(blur(t * t) - b * b, 0)
+    c = blur(p * t) - a * b
+    c = np.sign(c) * np.minimum(np.abs(c), np.sqrt(va * vb))
+    want = ((2 * a * b + 1e-4) * (2 * c + 9e-4) / ((a * a + b * b + 1e-4) * (va + vb + 9e-4))).mean()
+    row = lambda i, h, w: (i, h, w, *(v[:h, :w].reshape(-1).tolist() for v in (p, t, m)))
+    images = spark.createDataFrame([row(1, 9, 7), row(2, 2, 7)], "frame long, h int, w int, pred array<double>, target array<double>, mask array<double>")
+    got = {r.frame: r.ssim for r in metrics.ssim(images, 3).collect()}
+    assert got[1] == pytest.approx(want, rel=1e-9) and got[2] is None
+
+
+def test_png_round_trip():
+    rng = np.random.default_rng(6)
+    for shape, kind in (((5, 7), np.uint8), ((3, 4, 3), np.uint8), ((6, 2, 4), np.uint16), ((1, 1, 2), np.uint8)):
+        image = rng.integers(0, np.iinfo(kind).max, shape, endpoint=True).astype(kind)
+        assert np.array_equal(images.decode_png(images.encode_png(image)), image.reshape(*shape[:2], -1))
+    # every filter, undone by its definition
+    line, above = rng.integers(0, 256, 12).astype(np.uint8), rng.integers(0, 256, 12).astype(np.uint8)
+    for kind in range(5):
+        out = []
+        for i in range(12):
+            a, b, c = (out[i - 3] if i > 2 else 0), int(above[i]), (int(above[i - 3]) if i > 2 else 0)
+            guess = [0, a, b, (a + b) // 2, min([(abs(a + b - c - v), j, v) for j, v in enumerate((a, b, c))])[2]][kind]
+            out.append((int(line[i]) + guess) % 256)
+        assert images._undone(kind, line, above, 3).tolist() == out
+    with pytest.raises(ValueError):
+        images.decode_png(b"no image")
+
+
+def test_weights_follow_visibility(spark):
+    df = spark.createDataFrame([("a", float(i), i % 2) for i in range(20)], "label string, x double, seen int")
+    plain = {r.x: r.weight for r in robust.centre_weights(df, "label", ["x"]).collect()}
+    for r in robust.centre_weights(df, "label", ["x"], "seen").collect():
+        assert r.weight == pytest.approx(plain[r.x] * (r.seen + 1e-6))
+
+
+def test_sources_say_what_is_missing(spark, tmp_path):
+    with pytest.raises(ValueError):
+        datasets.open_capture(spark, "unknown", str(tmp_path))
+    assert set(datasets.KINDS) == {"parquet", "phone", "multiview", "casual"}
+    left = spark.createDataFrame([("a/x.png",), ("a/y.png",)], "path string")
+    with pytest.raises(Exception, match="no match for"):
+        sampling.paired_by_stem(left, left.where("path = 'a/x.png'")).collect()
