@@ -115,9 +115,14 @@ def sequence_report(df: DataFrame, seq: str, metrics: list[str]) -> DataFrame:
     return by.unionByName(by.agg(*(F.avg(m).alias(m) for m in metrics)).withColumn(seq, F.lit("(all)")))
 
 
+#: Multipliers that scatter well modulo the prime 2 ** 31 - 1.
+SCATTER = (742938285, 950706376, 1226874159)
+
+
 def random_unit_quaternions(df: DataFrame, id_: str, seed: int = 0) -> DataFrame:
-    """Adds `wxyz`, spread evenly over rotations: three uniform numbers from the row's hash, two circles whose radii add up to one sphere."""
-    u = [F.pmod(F.xxhash64(F.col(id_), F.lit(seed + i)), F.lit(1 << 40)) / float(1 << 40) for i in range(3)]
+    """Adds `wxyz`, spread evenly over rotations: three uniform numbers from the row's number, two circles whose radii add up to one sphere."""
+    prime = 2147483647
+    u = [(F.col(id_).cast("long") % prime * m + seed) % prime / float(prime) for m in SCATTER]
     a, b = F.sqrt(1 - u[0]), F.sqrt(u[0])
     tau = 2 * math.pi
     return df.withColumn("wxyz", F.array(a * F.sin(tau * u[1]), a * F.cos(tau * u[1]), b * F.sin(tau * u[2]), b * F.cos(tau * u[2])))

@@ -49,7 +49,8 @@ def camera_path_frames(spark, sf_dir):
     return rounded(out.select("path", "frame", F.get("position", F.lit(0)).alias("x"), F.get("wxyz", F.lit(0)).alias("w"), "fov"), 4)
 
 
-@query()
+@query(f"""WITH u AS (SELECT p_partkey, {', '.join(f'(p_partkey % 2147483647 * {m} + 7) % 2147483647 / 2147483647.0::DOUBLE AS u{i}' for i, m in enumerate(paths.SCATTER))} FROM part)
+SELECT p_partkey, round(sqrt(1 - u0) * sin(2 * pi() * u1), 5) AS w, round(sqrt(1 - u0) * cos(2 * pi() * u1), 5) AS x, round(sqrt(u0) * sin(2 * pi() * u2), 5) AS y, round(sqrt(u0) * cos(2 * pi() * u2), 5) AS z FROM u""")
 def random_quaternions(spark, sf_dir):
     q = paths.random_unit_quaternions(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 7)
     return rounded(q.select("p_partkey", *(F.get("wxyz", F.lit(i)).alias(n) for i, n in enumerate("wxyz"))))

@@ -73,3 +73,34 @@ def test_background_that_earlier_frames_cover_is_left_out(spark):
     cams = spark.createDataFrame([("s", 0, 10.0, 10.0, 8.0, 8.0, [float(v) for v in eye]), ("s", 1, 10.0, 10.0, 8.0, 8.0, [float(v) for v in eye]), ("s", 2, 10.0, 10.0, 8.0, 8.0, [float(v) for v in moved])], "seq string, frame int, fx double, fy double, cx double, cy double, w2c array<double>")
     counts = {r.frame: r["count"] for r in uncovered_background(frames, cams, least=64, by=2).groupBy("frame").count().collect()}
     assert counts == {0: 128, 2: 128}  # frame 1 sees what frame 0 saw; frame 2 looks elsewhere
+
+
+def test_camera_axes_are_principal(spark):
+    """Against numpy on the same rows: the mean, and axes of falling spread that are orthonormal."""
+    from spindrift.operators.paths import camera_axes
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(80, 3)) @ np.diag([5.0, 2.0, 0.5]) @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + [1.0, 2.0, 3.0]
+    r = camera_axes(spark.createDataFrame(points.tolist(), "x double, y double, z double"), ["x", "y", "z"]).first()
+    axes = np.reshape(r.axes, (3, 3))
+    assert np.allclose(r["mean"], points.mean(0)) and np.allclose(axes @ axes.T, np.eye(3)) and np.linalg.det(axes) > 0
+    _, _, vt = np.linalg.svd(points - points.mean(0))
+    assert np.allclose(np.abs((axes * vt).sum(1)), 1)
+
+
+def test_clusters_and_colours_follow_their_rules(spark):
+    """Every row is nearest to its own cluster's mean; colours are scaled projections on the first principal directions."""
+    from spindrift.operators.fits import kmeans, principal_colours
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(30, 5)) + c for c in (0.0, 9.0, -9.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    label = np.array([r.label for r in sorted(kmeans(df, "id", "f", 3).collect())])
+    centres = np.stack([x[label == k].mean(0) for k in range(3)])
+    assert (((x[:, None] - centres) ** 2).sum(2).argmin(1) == label).all()
+    got = np.array([r.colour for r in sorted(principal_colours(df, "id", "f").collect())])
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    p = (x - x.mean(0)) @ vt[:3].T
+    p = (p - p.min(0)) / (p.max(0) - p.min(0))
+    for i in range(3):
+        assert np.allclose(got[:, i], p[:, i], atol=1e-6) or np.allclose(got[:, i], 1 - p[:, i], atol=1e-6)
