@@ -28,36 +28,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, Words, as_list, ragged, slices, split_words, sum_by_doc
+from .arrow_text import LOWER, Words, as_list, give_back, ragged, slices, split_words, sum_by_doc
 from .session import cut, partitions, read
 
 LENGTH, END = 2048, 1
 #: Dimensions of a place, bits of each, and bits of the row's hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 20
 #: Bytes of text tokenised at once: the more, the fewer look-ups of a word.
-SLICE = 6_000_000
+SLICE = 1_500_000
+#: Bytes that a worker's known pieces may take, and what a piece takes besides its letters and ids.
+MOST_BYTES, PIECE_BYTES = 64_000_000, 200
 
 _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 class CachedTokenizer:
-    """Ids of whole texts by way of their distinct pieces; forgets them beyond `most` pieces."""
+    """Ids of whole texts by way of their distinct pieces; forgets them all when they take over `most` bytes."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = MOST_BYTES):
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # for texts that normalising would leave alone
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.normalizer, self.nothing = self.tokenizer.normalizer, normalizers.Sequence([])
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.most = most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
@@ -76,6 +77,7 @@ class CachedTokenizer:
         self.size[first:last] = sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.held += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + ids.nbytes
         self.known.update(zip(pieces, range(first, last), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
@@ -84,8 +86,11 @@ class CachedTokenizer:
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
             text = " ".join(some)
+            # normalising would leave such a text alone
             same = unicodedata.is_normalized("NFC", text) and text.lower() == text
-            ids = np.array((self.plain if same else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            self.tokenizer.normalizer = self.nothing if same else self.normalizer
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            self.tokenizer.normalizer = self.normalizer
             ends = np.flatnonzero(self.closes[ids])
             if len(ends) == len(some):
                 self._store(some, ids, np.diff(ends, prepend=-1))
@@ -130,8 +135,8 @@ class CachedTokenizer:
 
     def encode(self, texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each text's begin; `words` are the texts' words in lower case."""
-        if len(self.known) > self.most:
-            self._forget()
+        if self.held > self.most:
+            self.forget()
         distinct, of_word = words.encoded()
         start, size = self._distinct(distinct)
         sizes = size[of_word]
@@ -151,7 +156,7 @@ _tokenizers: dict[str, CachedTokenizer] = {}
 
 
 def tokenizer(path: str) -> CachedTokenizer:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task, without the pieces it has learned."""
     if path not in _tokenizers:
         _tokenizers[path] = CachedTokenizer(path)
     return _tokenizers[path]
@@ -231,6 +236,8 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(stream)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(size))), part.column("doc_id"), pa.array(key), pa.array(size), binary], ["row", "doc_id", "key", "tokens", "ids"])
                 row += len(size)
+        own.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 

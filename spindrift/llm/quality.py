@@ -30,7 +30,7 @@ TRAINING_ROWS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 THRESHOLD = 0.3
 #: Bytes of text whose words' vectors are held at once.
-SLICE = 1_000_000
+SLICE = 400_000
 
 
 def index_vectors() -> np.ndarray:
