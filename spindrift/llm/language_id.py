@@ -32,8 +32,10 @@ TRAINING_ROWS = 3000
 #: Step size, its damping, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1e-4, 1e-3, 4
 UNKNOWN = "und"
+#: The highest probability that a recognised text may be asked for.
+MOST_SURE = 0.9
 #: Bytes of text whose n-grams are held at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def ngram_buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -148,12 +150,17 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 @dataclass
 class LanguageModel:
-    """table: for each bucket its n-gram's weight, then that weight times each language's coefficient."""
+    """table: for each bucket its n-gram's weight, then that weight times each language's coefficient.
+
+    sure: what the set-aside texts' likeliest languages have at least, MOST_SURE
+    at most; a text with less is like none of them.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
+    sure: float = 0.0
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Position of the likeliest language, -1 for none, and its probability."""
@@ -197,8 +204,9 @@ def train(rows: DataFrame, most: int = TRAINING_ROWS) -> LanguageModel:
     w = ftrl.weights()
     scores = np.array([x @ w[at] for at, x, _ in aside]).reshape(len(aside), len(languages))
     temperature = fit_temperature(scores, np.array([label for _, _, label in aside], int))
+    sure = min(MOST_SURE, float(softmax(scores / temperature).max(1).min())) if len(aside) else 0.0
     table = np.concatenate([idf[:, None], idf[:, None] * w[:-1]], axis=1)
-    return LanguageModel(languages, table.astype(np.float32), w[-1], temperature)
+    return LanguageModel(languages, table.astype(np.float32), w[-1], temperature, sure)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
