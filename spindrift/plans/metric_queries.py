@@ -91,10 +91,10 @@ def bootstrapped_loss(spark, sf_dir):
 @query("""WITH p AS (SELECT l_orderkey AS pixel, l_linenumber AS obj, max(l_discount * 4 + 0.05) AS p FROM lineitem GROUP BY ALL),
 b AS (SELECT *, exp(sum(ln(greatest(1 - p, 1e-300))) OVER (PARTITION BY pixel)) AS bg, least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7)) AS o FROM p),
 t AS (SELECT *, least(greatest(bg, 1e-7), 1 - 1e-7) / (1 - least(greatest(bg, 1e-7), 1 - 1e-7)) AS ob, sum(o) OVER (PARTITION BY pixel) AS s FROM b)
-SELECT pixel, obj, round(o / (s + ob), 5) AS prob FROM t UNION ALL SELECT pixel, 0, round(any_value(ob) / (any_value(s) + any_value(ob)), 5) FROM t GROUP BY pixel""")
+SELECT pixel, obj, round(o / (s + ob), 7) AS prob FROM t UNION ALL SELECT pixel, 0, round(any_value(ob) / (any_value(s) + any_value(ob)), 7) FROM t GROUP BY pixel""")
 def soft_aggregate(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").alias("obj")).agg(F.max(F.col("l_discount") * 4 + 0.05).alias("p"))
-    return rounded(metrics.soft_aggregate(p, ["pixel"], "obj", "p"))
+    return rounded(metrics.soft_aggregate(p, ["pixel"], "obj", "p"), 7)
 
 
 @query()
