@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clamp
 from . import robust
+from .neighbours import nearest
 from .quantiles import quantile_table
 
 PAIR = [f"{a}{b}" for a in "xyz" for b in "xyz"]
@@ -76,48 +77,18 @@ def aligned(pairs: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("residual", F.sqrt(sum((d * d for d in gap[1:]), gap[0] * gap[0])))
 
 
-def nearest_neighbours(points: DataFrame, id_: str, dims: list[str], k: int, cell: float) -> DataFrame:
-    """`(id, neighbour, distance, rank)`: exact k nearest by grid cells of side `cell`, whose ring widens where it must.
+def nearest_neighbours(points: DataFrame, id_: str, dims: list[str], k: int, cell: float | None = None) -> DataFrame:
+    """`(id, neighbour, distance, rank)`: exact k nearest, the smaller id first among equals.
 
-    A point's k-th neighbour within its ring of r cells is final if it is no
-    farther than r * cell, as nothing outside of the ring is nearer.  Points left
-    over go on to a ring twice as wide, so the join is by cell and never of all
-    pairs; the loop ends when the ring spans the data.
+    Boxes follow the points' density (see `operators.neighbours`); `cell`, the
+    side of a grid that is no longer needed, never changed the result.
     """
-    from pyspark.sql import Window as W
-
-    at = [F.floor(F.col(d) / cell).alias(f"c{i}") for i, d in enumerate(dims)]
-    rows = points.select(id_, *dims, *at)
-    extent = rows.agg(*(F.max(f"c{i}") - F.min(f"c{i}") for i in range(len(dims)))).first()
-    widest = max([int(v or 0) for v in extent], default=0) + 1
-    todo, done, reach = rows, None, 1
-    while True:
-        size = 2 * reach + 1
-        coarse = [F.floor(F.col(f"c{i}") / size).alias(f"b{i}") for i in range(len(dims))]
-        held = rows.select(F.col(id_).alias("neighbour"), *(F.col(d).alias(f"n_{d}") for d in dims), *coarse)
-        probe = todo.select(id_, *dims, *(F.floor(F.col(f"c{i}") / size).alias(f"b{i}") for i in range(len(dims))))
-        for i in range(len(dims)):
-            probe = probe.withColumn(f"b{i}", F.explode(F.array(F.col(f"b{i}") - 1, F.col(f"b{i}"), F.col(f"b{i}") + 1)))
-        pairs = probe.join(held, [f"b{i}" for i in range(len(dims))]).where(F.col(id_) != F.col("neighbour"))
-        gap = [F.col(d) - F.col(f"n_{d}") for d in dims]
-        dist = F.sqrt(sum((x * x for x in gap[1:]), gap[0] * gap[0]))
-        rank = F.row_number().over(W.partitionBy(id_).orderBy("distance", "neighbour"))
-        best = pairs.select(id_, "neighbour", dist.alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
-        whole = reach >= widest
-        sure = best if whole else best.withColumn("kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(W.partitionBy(id_))).where(F.col("kth") <= size * cell).drop("kth")
-        sure = sure.checkpoint() if not whole else sure
-        done = sure if done is None else done.unionByName(sure)
-        if whole:
-            return done
-        todo = todo.join(sure.select(id_).distinct(), id_, "left_anti")
-        if todo.isEmpty():
-            return done
-        reach *= 2
+    return nearest(points, id_, dims, k)
 
 
 def neighbour_scale(points: DataFrame, id_: str, dims: list[str], cell: float, k: int = 3, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """`(id, mean_distance, log_scale)`: mean distance of k neighbours, held between two quantiles, as a logarithm."""
-    mean = nearest_neighbours(points, id_, dims, k, cell).groupBy(id_).agg(F.avg("distance").alias("mean_distance"))
+    mean = nearest_neighbours(points, id_, dims, k, cell).groupBy(id_).agg(F.avg("distance").alias("mean_distance")).checkpoint()
     limits = quantile_table(mean, {"low": (F.col("mean_distance"), low), "high": (F.col("mean_distance"), high)})
     held = mean.crossJoin(F.broadcast(limits))
     return held.select(id_, "mean_distance", F.ln(F.greatest(F.least(F.greatest("mean_distance", "low"), F.col("high")), F.lit(1e-12))).alias("log_scale"))

@@ -144,6 +144,41 @@ def test_neighbours_are_exact(spark):
         assert [got[i, k] for k in (1, 2, 3)] == pytest.approx(want.tolist())
 
 
+def _brute(ids, p, k):
+    """id -> its k nearest (distance, id), NaN being the farthest."""
+    out = {}
+    for i, x in zip(ids.tolist(), p, strict=True):
+        with np.errstate(invalid="ignore", over="ignore"):
+            gap = x - p
+            d = np.sqrt(np.square(gap).T.cumsum(axis=0)[-1])
+        other = ids != i
+        sort = np.lexsort((ids[other], d[other]))[:k]
+        out[i] = list(zip(d[other][sort].tolist(), ids[other][sort].tolist(), strict=True))
+    return out
+
+
+def _nearest(spark, ids, p, k):
+    df = spark.createDataFrame([(int(i), *map(float, x)) for i, x in zip(ids, p, strict=True)], ["id", *"xyz"[: p.shape[1]]])
+    out = {}
+    for r in sorted(fits.nearest_neighbours(df, "id", list("xyz"[: p.shape[1]]), k, 0.3).collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.id, []).append((r.distance, r.neighbour))
+    return out
+
+
+def test_neighbours_over_many_boxes(spark, monkeypatch):
+    monkeypatch.setattr("spindrift.operators.neighbours.BOX", 40)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=(300, 2))
+    hot[:200] = 0
+    far = np.concatenate([rng.normal(size=(300, 1)), [[1e9], [-1e200]]])
+    odd = rng.normal(size=(300, 3))
+    odd[3], odd[4, 1], odd[5, 1], odd[6, 2] = np.nan, np.inf, np.inf, -np.inf
+    for p in (rng.integers(0, 5, size=(300, 3)) * 1.0, np.repeat(rng.normal(size=(12, 3)), 25, axis=0), hot, far, odd, odd[:5], rng.normal(size=(3, 2))):
+        ids = rng.permutation(len(p))
+        got, want = _nearest(spark, ids, p, 3), _brute(ids, p, 3)
+        assert {i: repr(v) for i, v in got.items()} == {i: repr(v) for i, v in want.items()}
+
+
 def test_motion_carries_over_weak_frames(spark):
     pts = np.random.default_rng(4).normal(size=(12, 3))
     rows = [(n, t, *(float(v) for v in p + [t, 0, 0]), 0.0 if t == 3 else 1.0) for n, p in enumerate(pts) for t in range(5)]
