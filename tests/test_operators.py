@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -179,6 +180,16 @@ def test_neighbours_over_many_boxes(spark, monkeypatch):
         assert {i: repr(v) for i, v in got.items()} == {i: repr(v) for i, v in want.items()}
 
 
+def test_neighbours_in_a_dense_cell(spark):
+    """All points lie in a few cells of the grid that was asked for: comparing all pairs of them takes minutes."""
+    p = np.random.default_rng(6).normal(size=(30_000, 3)) / 20
+    began = time.monotonic()
+    got = _nearest(spark, np.arange(len(p)), p, 3)
+    assert time.monotonic() - began < 45 and len(got) == len(p)
+    for i in range(0, len(p), 999):
+        assert [d for d, _ in got[i]] == pytest.approx(np.sort(np.linalg.norm(p - p[i], axis=1))[1:4].tolist())
+
+
 def test_motion_carries_over_weak_frames(spark):
     pts = np.random.default_rng(4).normal(size=(12, 3))
     rows = [(n, t, *(float(v) for v in p + [t, 0, 0]), 0.0 if t == 3 else 1.0) for n, p in enumerate(pts) for t in range(5)]
