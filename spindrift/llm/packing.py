@@ -12,8 +12,9 @@
    the document is, in any order and any number of times.
 
 Tokens are those of a public tokenizer.  A text is split at blanks, which the
-tokenizer drops, and each distinct piece is encoded once for each worker: the
-result is the tokenizer's own for the whole text.
+tokenizer drops, and each distinct piece is encoded once for each worker, or
+again if it was forgotten since: the result is the tokenizer's own for the whole
+text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,15 @@ DIMS, BITS, TIE_BITS = 4, 10, 20
 SLICE = 1_500_000
 #: Bytes that a worker's known pieces may take, and what a piece takes besides its letters and ids.
 MOST_BYTES, PIECE_BYTES = 64_000_000, 200
+#: Words of the last slices that Arrow looks up.
+MOST_RECENT = 150_000
 
 _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_IS_EDGE = np.isin(np.arange(256), [ord(c) for c in _EDGES])
 
 
 class CachedTokenizer:
-    """Ids of whole texts by way of their distinct pieces; forgets them all when they take over `most` bytes."""
+    """Ids of whole texts by way of their distinct pieces; forgets the half that is used least when they take over `most` bytes."""
 
     def __init__(self, path: str, most: int = MOST_BYTES):
         from tokenizers import Tokenizer, normalizers
@@ -59,25 +64,49 @@ class CachedTokenizer:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
+        self._forget_recent()
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
+        self.uses = np.zeros(1024, np.int32)
+        self.cost = np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _forget_recent(self) -> None:
+        self.recent, self.recent_codes = pa.array([], pa.string()), np.zeros(0, np.int64)
+
+    def forget_half(self) -> None:
+        """Of pieces used as often, those known longer go first; uses count half from now on."""
+        n = len(self.known)
+        kept = np.zeros(n, bool)
+        kept[np.lexsort((np.arange(n), self.uses[:n]))[n - n // 2 :]] = True
+        kept = np.flatnonzero(kept)
+        names = list(self.known)
+        self.known = dict(zip((names[i] for i in kept.tolist()), range(len(kept)), strict=True))
+        size = self.size[kept]
+        self.pool = self.pool[ragged(self.start[kept], size)]
+        self.used = len(self.pool)
+        self.start, self.size, self.uses, self.cost = np.cumsum(size) - size, size, self.uses[kept] // 2, self.cost[kept]
+        self.held = int(self.cost.sum())
+        self._forget_recent()
+
     def _reserve(self, n: int) -> None:
         while self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.pool = np.resize(self.pool, 2 * len(self.pool) + 4096)
 
     def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, last = len(self.known), len(self.known) + len(pieces)
         while last > len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            room = 2 * len(self.size) + 1024
+            self.start, self.size, self.uses, self.cost = (np.resize(x, room) for x in (self.start, self.size, self.uses, self.cost))
         self._reserve(len(ids))
         self.start[first:last] = self.used + np.cumsum(sizes) - sizes
         self.size[first:last] = sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.held += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + ids.nbytes
+        self.uses[first:last] = 0
+        self.cost[first:last] = PIECE_BYTES + np.fromiter(map(len, pieces), np.int64, len(pieces)) + sizes * ids.itemsize
+        self.held += int(self.cost[first:last].sum())
         self.known.update(zip(pieces, range(first, last), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
@@ -102,11 +131,26 @@ class CachedTokenizer:
             self._store(some, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64))
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
-        codes = list(map(self.known.get, pieces))
-        if None in codes:
-            self._learn(list(dict.fromkeys(p for p, c in zip(pieces, codes, strict=True) if c is None)))
-            codes = list(map(self.known.get, pieces))
-        return np.array(codes, np.int64)
+        look = lambda some: np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+        codes = look(pieces)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            some = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(some)))
+            codes[missing] = look(some)
+        return codes
+
+    def _recent(self, words: pa.StringArray) -> np.ndarray:
+        """Codes of distinct words; Arrow finds those that were asked for lately, so only others become Python strings."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.recent), -1).to_numpy().astype(np.int64)
+        others = words.filter(pa.array(at < 0))
+        codes = self.recent_codes[at] if len(self.recent) else np.zeros(len(words), np.int64)
+        codes[at < 0] = new = self._codes(as_list(others))
+        if len(self.recent) + len(others) > MOST_RECENT:
+            self.recent, self.recent_codes = words, codes
+        else:
+            self.recent, self.recent_codes = pa.concat_arrays([self.recent, others]), np.concatenate([self.recent_codes, new])
+        return codes
 
     def _distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in the pool, and how many they are.
@@ -115,13 +159,19 @@ class CachedTokenizer:
         comes before, so both are looked up on their own and put together past
         the pool's end.
         """
-        core = pc.utf8_rtrim(words, characters=_EDGES)
-        core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, words)
-        head_bytes = pc.binary_length(core).to_numpy(zero_copy_only=False)
-        split = np.flatnonzero(head_bytes < pc.binary_length(words).to_numpy(zero_copy_only=False))
-        tails = [w.encode()[n:].decode() for w, n in zip(as_list(words.take(pa.array(split))), head_bytes[split].tolist(), strict=True)]
-        d = core.dictionary_encode()
-        head = self._codes(as_list(d.dictionary))[d.indices.to_numpy(zero_copy_only=False)]
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + len(words) + 1] if len(words) else np.zeros(0, np.int32)
+        edged = _IS_EDGE[np.frombuffer(words.buffers()[2], np.uint8)[ends - 1]] if len(words) else np.zeros(0, bool)
+        whole = words.filter(pa.array(edged))
+        core = pc.utf8_rtrim(whole, characters=_EDGES)
+        parted = np.asarray(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), bool)
+        split = np.flatnonzero(edged)[parted]
+        core = core.filter(pa.array(parted))
+        tails = [w[len(c) :] for w, c in zip(as_list(whole.filter(pa.array(parted))), as_list(core), strict=True)]
+        edged[edged] = parted
+        d = pc.replace_with_mask(words, pa.array(edged), core).dictionary_encode()
+        code = self._recent(d.dictionary)
+        self.uses[code] += 1
+        head = code[d.indices.to_numpy(zero_copy_only=False)]
         tail = self._codes(tails)
         start, size = self.start[head], self.size[head]
         if len(split):
@@ -136,7 +186,7 @@ class CachedTokenizer:
     def encode(self, texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each text's begin; `words` are the texts' words in lower case."""
         if self.held > self.most:
-            self.forget()
+            self.forget_half()
         distinct, of_word = words.encoded()
         start, size = self._distinct(distinct)
         sizes = size[of_word]
@@ -156,12 +206,20 @@ _tokenizers: dict[str, CachedTokenizer] = {}
 
 
 def tokenizer(path: str) -> CachedTokenizer:
-    """One for each Python worker, kept from task to task, without the pieces it has learned."""
+    """One for each Python worker, kept from task to task with the pieces it has learned."""
     if path not in _tokenizers:
         _tokenizers[path] = CachedTokenizer(path)
     return _tokenizers[path]
 
 
+def forget_pieces() -> None:
+    """For stages after tokenising, whose tasks run in the same workers."""
+    for own in _tokenizers.values():
+        if own.known:
+            own.forget()
+            give_back()
+
+
 def _signs(n: int) -> np.ndarray:
     """For each id below n its hashed vector, DIMS numbers from -1 to 1."""
     x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +294,6 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(stream)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(size))), part.column("doc_id"), pa.array(key), pa.array(size), binary], ["row", "doc_id", "key", "tokens", "ids"])
                 row += len(size)
-        own.forget()
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
@@ -256,6 +313,7 @@ def place_in_stream(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_pieces()
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = batch.column("tokens").to_numpy()
@@ -285,6 +343,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         for batch in batches:
             for part in slices(batch, "ids"):
                 size, base = part.column("tokens").to_numpy(), part.column("base").to_numpy()

@@ -275,6 +275,28 @@ def test_tokenizer_agrees_on_odd_texts():
         assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [cached.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_tokenizer_keeps_the_pieces_used_most(monkeypatch):
+    import pyarrow as pa
+
+    from spindrift.llm import packing
+    from spindrift.llm.arrow_text import LOWER, split_words
+
+    monkeypatch.setattr(packing, "MOST_RECENT", 90, raising=False)
+    cached = packing.CachedTokenizer(packing.vocabulary(), most=25_000)
+    learned, learn = [], cached._learn
+    monkeypatch.setattr(cached, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdeéß"), 9))
+    common = [word() for _ in range(20)]
+    for _ in range(12):
+        texts = [" ".join(rng.permutation(common + [word() for _ in range(40)])) + ".", ", ".join(common)]
+        arr = pa.array(texts)
+        ids, starts = cached.encode(arr, split_words(arr, LOWER))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [cached.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert cached.held <= 25_000 + 61 * 300
+    assert len(cached.known) < 12 * 40 and sum(p in common for p in learned) == len(common)
+
+
 def test_hilbert_keys_step_by_one():
     from spindrift.llm.packing import hilbert_keys
 
