@@ -190,6 +190,22 @@ def test_neighbours_in_a_dense_cell(spark):
         assert [d for d, _ in got[i]] == pytest.approx(np.sort(np.linalg.norm(p - p[i], axis=1))[1:4].tolist())
 
 
+def test_neighbours_shuffle_in_proportion(spark):
+    """A dense cell's pairs are never exchanged: by grid cells 2,000 points wrote over 600 bytes each."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    p = np.random.default_rng(6).normal(size=(2_000, 3)) / 20
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], ["id", *"xyz"])
+    before = written()
+    assert fits.neighbour_scale(df, "id", list("xyz"), 0.05).where("mean_distance > 0").count() == len(p)
+    assert 0 < written() - before < 300 * len(p)
+
+
 def test_motion_carries_over_weak_frames(spark):
     pts = np.random.default_rng(4).normal(size=(12, 3))
     rows = [(n, t, *(float(v) for v in p + [t, 0, 0]), 0.0 if t == 3 else 1.0) for n, p in enumerate(pts) for t in range(5)]
